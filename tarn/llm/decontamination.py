@@ -163,20 +163,28 @@ def cut_words(text: bytes, spans: list[int]) -> bytes:
     return b"".join(out) + text[last:]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs without contaminated documents, and without the hit spans of the others; columns as in docs."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13, share: int = 20, block_bytes: int = 8 << 20, length_col: str | None = None) -> DataFrame:
+    """docs without contaminated documents, and without the hit spans of the others; columns as in docs.
+
+    Where a text changes, ``length_col`` (if docs has it) gets its new number of code points.
+    """
     out = marked(docs, benchmark, text_col, width, block_bytes).withColumns({"_n_hit": _measures()["n_hit"]})
     out = out.where((F.col("_n_hit") == 0) | (share * F.col("_n_hit") < F.col("_n_words")))
     at = docs.columns.index(text_col)
+    counted = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            columns, texts = batch.columns[:-1], batch.column(at).to_pylist()
+            sizes = columns[counted].to_pylist() if counted is not None else None
             for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if spans:
                     texts[i] = cut_words(texts[i].encode(), spans).decode()
-            columns = batch.columns[:-1]
+                    if sizes is not None:
+                        sizes[i] = len(texts[i])
             columns[at] = pa.array(texts, pa.string())
+            if sizes is not None:
+                columns[counted] = pa.array(sizes, columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return out.select(*docs.columns, _HITS).mapInArrow(run, docs.schema)
