@@ -1,8 +1,171 @@
-"""Registered queries and their SQL."""
+"""The dialect's operators on the driver's tables: statement, and the same as DuckDB SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Each entry of ``CASES`` is id -> (statement, oracle SQL).  The statements go through the session, so they
+exercise parser, binder and lowering.  Predicates that a statement projects are INT 1/0.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import Session
+from ..sql.parser import parse
+from ..sql.tree import Select
+
+FLAGSHIP = "SELECT n.n_name, COUNT(*) AS cnt, SUM(o.o_totalprice) AS total FROM nation n JOIN customer c ON n.n_nationkey = c.c_nationkey JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY n.n_name ORDER BY n_name"
+
+
+def run(spark: SparkSession, sf_dir: str, statement: str, mode: str = "auto", index: tuple[str, ...] = ()) -> DataFrame:
+    session = Session(spark)
+    tree: Select = parse(statement)
+    for name in {tree.table.name, *(j.table.name for j in tree.joins)}:
+        session.load_parquet(f"{sf_dir}/{name}.parquet", name)
+    session.set_join_mode(mode)
+    if index:
+        session.index(*index)
+    return session.sql(statement)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, FLAGSHIP)
+
+
+def _as_is(statement: str) -> tuple[str, str]:
+    return statement, statement
+
+
+CASES: dict[str, tuple[str, str]] = {
+    # scans and projections
+    "SRC-10_scan": _as_is("SELECT c_custkey, c_name, c_acctbal FROM customer"),
+    "PRJ-1_project": _as_is("SELECT l_orderkey AS k, l_quantity * l_extendedprice AS v FROM lineitem"),
+    "PRJ-2_star": _as_is("SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "PRJ-3_names": ("SELECT n_name, UPPER(n_name), n_nationkey + 1 FROM nation", 'SELECT n_name, upper(n_name) AS "UPPER", n_nationkey + 1 AS expr FROM nation'),
+    "PRJ-4_qualified": _as_is("SELECT n.n_name, n.n_nationkey FROM nation n ORDER BY n.n_nationkey"),
+    "SRC-11_index_scan": _as_is("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 370"),
+    # filters and comparisons
+    "FIL-1_where": ("SELECT p_partkey FROM part WHERE p_size", "SELECT p_partkey FROM part WHERE p_size <> 0"),
+    "CMP-1_eq": _as_is("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'"),
+    "CMP-2_ne": _as_is("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity != 10"),
+    "CMP-3_lt": _as_is("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 10"),
+    "CMP-4_gt": _as_is("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45"),
+    "CMP-5_le": _as_is("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount <= 0.02"),
+    "CMP-6_ge": _as_is("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax >= 0.07"),
+    "CMP-7_kinds": ("SELECT COUNT(*) AS n FROM orders WHERE o_orderstatus = 1", "SELECT CAST(0 AS BIGINT) AS n"),
+    "CMP-8_projected": ("SELECT o_orderkey, o_totalprice > 100000 AS big, (o_orderstatus = 'F') + 1 AS f FROM orders", "SELECT o_orderkey, CAST(o_totalprice > 100000 AS BIGINT) AS big, CAST(o_orderstatus = 'F' AS BIGINT) + 1 AS f FROM orders"),
+    "LOG-1_and": _as_is("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000"),
+    "LOG-2_or": _as_is("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR o_totalprice > 300000"),
+    "LOG-3_not": _as_is("SELECT o_orderkey FROM orders WHERE NOT o_totalprice > 50000"),
+    "LOG-4_three_valued": _as_is("SELECT COUNT(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT (l.toxic = 1 OR l.quality = 1)"),
+    "LOG-5_string": ("SELECT COUNT(*) AS n FROM nation WHERE NOT n_name", "SELECT count(*) AS n FROM nation"),
+    "PAR-1_precedence": _as_is("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_orderstatus = 'O' AND NOT o_totalprice < 150000 + 2 * 50000"),
+    "NUL-1_is_null": _as_is("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NULL"),
+    "NUL-2_is_not_null": _as_is("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NOT NULL"),
+    "IN-1_in": _as_is("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"),
+    "IN-2_not_in": _as_is("SELECT p_partkey FROM part WHERE p_size NOT IN (1, 2, 3)"),
+    "IN-3_null": _as_is("SELECT COUNT(*) AS n FROM part WHERE p_size NOT IN (1, NULL)"),
+    "IN-4_empty": ("SELECT COUNT(*) AS n FROM part WHERE NOT p_size IN ()", "SELECT count(*) AS n FROM part"),
+    "IN-5_kinds": ("SELECT COUNT(*) AS n FROM part WHERE p_brand NOT IN (1, 2)", "SELECT count(*) AS n FROM part"),
+    "BTW-1_between": _as_is("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20"),
+    "BTW-2_not_between": _as_is("SELECT p_partkey FROM part WHERE p_retailprice NOT BETWEEN 1000 AND 1500"),
+    "BTW-3_null": ("SELECT COUNT(*) AS n FROM part WHERE p_size NOT BETWEEN 60 AND NULL", "SELECT CAST(0 AS BIGINT) AS n"),
+    "LIK-1_prefix": ("SELECT p_partkey FROM part WHERE p_name LIKE 'P%'", "SELECT p_partkey FROM part WHERE p_name ILIKE 'P%'"),
+    "LIK-2_infix": ("SELECT c_custkey FROM customer WHERE c_mktsegment LIKE '%uil%'", "SELECT c_custkey FROM customer WHERE c_mktsegment ILIKE '%uil%'"),
+    "LIK-3_suffix": ("SELECT c_custkey FROM customer WHERE c_name LIKE '%7'", "SELECT c_custkey FROM customer WHERE c_name ILIKE '%7'"),
+    "LIK-4_underscore": ("SELECT p_partkey FROM part WHERE p_brand LIKE 'brand#_3'", "SELECT p_partkey FROM part WHERE p_brand ILIKE 'brand#_3'"),
+    "LIK-5_not": ("SELECT COUNT(*) AS n FROM documents WHERE text NOT LIKE '%THE%'", "SELECT count(*) AS n FROM documents WHERE text NOT ILIKE '%THE%'"),
+    # joins
+    "JN-1_inner": _as_is("SELECT c.c_name, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey"),
+    "JN-2_left": _as_is("SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "JN-3_theta": _as_is("SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey > r.r_regionkey"),
+    "JN-4_hash": _as_is("SELECT COUNT(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey"),
+    "JN-5_int_float": _as_is("SELECT COUNT(*) AS n FROM part p JOIN lineitem l ON p.p_size = l.l_quantity WHERE p.p_partkey < 50"),
+    "JN-6_index": _as_is("SELECT c.c_name, o.o_totalprice FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_custkey < 100"),
+    "JN-7_self": _as_is("SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
+    "JN-8_multi": ("SELECT r.r_name, COUNT(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",) * 2,
+    "JN-9_compound": _as_is("SELECT COUNT(*) AS n FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey AND l.l_quantity > p.p_size"),
+    "JN-10_left_compound": _as_is("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000"),
+    # aggregation
+    "AGG-1_group": _as_is("SELECT l_returnflag, l_linestatus, COUNT(*) AS n, MIN(l_quantity) AS lo, MAX(l_quantity) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus"),
+    "AGG-1b_null_group": _as_is("SELECT l.toxic, COUNT(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY l.toxic"),
+    "AGG-2_global_empty": ("SELECT COUNT(*) AS n, SUM(p_size) AS s, MIN(p_name) AS m FROM part WHERE p_size < 0", "SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS s, min(p_name) AS m FROM part WHERE p_size < 0"),
+    "AGG-3_group_only": _as_is("SELECT c_mktsegment FROM customer GROUP BY c_mktsegment"),
+    "AGG-4_count_star": _as_is("SELECT COUNT(*) AS n FROM lineitem"),
+    "AGG-5_count": _as_is("SELECT COUNT(l.toxic) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "AGG-6_sum": ("SELECT p_brand, SUM(p_size) AS s FROM part GROUP BY p_brand", "SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS s FROM part GROUP BY p_brand"),
+    "AGG-7_avg": ("SELECT p_brand, ROUND(AVG(p_size), 6) AS a FROM part GROUP BY p_brand", "SELECT p_brand, round(avg(p_size), 6) + 0.0 AS a FROM part GROUP BY p_brand"),
+    "AGG-8_min": _as_is("SELECT MIN(o_totalprice) AS a, MIN(o_orderpriority) AS b FROM orders"),
+    "AGG-9_max": _as_is("SELECT o_orderstatus, MAX(o_totalprice) AS a, MAX(o_orderpriority) AS b FROM orders GROUP BY o_orderstatus"),
+    "AGG-10_distinct": ("SELECT COUNT(DISTINCT l_suppkey) AS a, SUM(DISTINCT l_linenumber) AS b, AVG(DISTINCT l_linenumber) AS c, MIN(DISTINCT l_linenumber) AS d FROM lineitem", "SELECT count(DISTINCT l_suppkey) AS a, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS b, avg(DISTINCT l_linenumber) AS c, CAST(min(DISTINCT l_linenumber) AS BIGINT) AS d FROM lineitem"),
+    "AGG-11_expressions": ("SELECT SUM(p_size + 1) AS a, SUM(p_size) / COUNT(*) AS b, ROUND(AVG(p_size), 2) AS c FROM part", "SELECT CAST(sum(p_size + 1) AS BIGINT) AS a, CAST(sum(p_size) // count(*) AS BIGINT) AS b, round(avg(p_size), 2) AS c FROM part"),
+    "AGG-12_having": _as_is("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 15"),
+    "AGG-16_events": _as_is("SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT user_id) AS u FROM events GROUP BY event_type"),
+    # distinct, sort, limit
+    "DST-1_distinct": _as_is("SELECT DISTINCT p_brand, p_size FROM part"),
+    "DST-2_distinct_null": _as_is("SELECT DISTINCT l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "ORD-1_order": _as_is("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey"),
+    "ORD-2_position": _as_is("SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY 2 DESC, 1 LIMIT 3"),
+    "ORD-3_alias": _as_is("SELECT p_partkey AS k FROM part ORDER BY k LIMIT 10"),
+    "ORD-5_nulls": ("SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY toxic, doc_id LIMIT 20", "SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY toxic NULLS FIRST, d.doc_id LIMIT 20"),
+    "LIM-1_top": _as_is("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
+    # arithmetic
+    "ART-1_add": _as_is("SELECT o_orderkey, o_orderkey + o_custkey AS a, o_totalprice + 1 AS b FROM orders"),
+    "ART-2_subtract": _as_is("SELECT o_orderkey, o_orderkey - o_custkey AS a, o_totalprice - 0.5 AS b FROM orders"),
+    "ART-3_multiply": _as_is("SELECT l_orderkey, l_linenumber, l_partkey * l_suppkey AS a, l_quantity * 2 AS b FROM lineitem"),
+    "ART-4_divide": ("SELECT o_orderkey, (o_orderkey - 20000) / 7 AS a, o_totalprice / 4 AS b, o_custkey / (o_custkey - o_custkey) AS c, o_totalprice / (o_custkey - o_custkey) AS d FROM orders", "SELECT o_orderkey, (o_orderkey - 20000) // 7 AS a, o_totalprice / 4 AS b, CAST(NULL AS BIGINT) AS c, CAST(NULL AS DOUBLE) AS d FROM orders"),
+    "ART-5_negate": _as_is("SELECT o_orderkey, -o_custkey AS a, -o_totalprice AS b FROM orders"),
+    "ART-6_overflow": ("SELECT n_nationkey, 9223372036854775807 + n_nationkey + 1 AS a FROM nation", "SELECT n_nationkey, CAST(9223372036854775807 AS DOUBLE) + n_nationkey + 1 AS a FROM nation"),
+    "ART-7_null": ("SELECT n_nationkey, n_nationkey + NULL AS a FROM nation", "SELECT n_nationkey, CAST(NULL AS BIGINT) AS a FROM nation"),
+    # functions
+    "FN-1_upper": ("SELECT doc_id, UPPER(text) AS u FROM documents", "SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS u FROM documents"),
+    "FN-2_lower": ("SELECT doc_id, LOWER(text) AS u FROM documents", "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u FROM documents"),
+    "FN-3_length": ("SELECT doc_id, LENGTH(text) AS n, LENGTH(n_chars) AS m FROM documents", "SELECT doc_id, strlen(text) AS n, strlen(CAST(n_chars AS VARCHAR)) AS m FROM documents"),
+    "FN-4_abs": _as_is("SELECT c_custkey, ABS(c_acctbal) AS a, ABS(c_custkey - 700) AS b FROM customer"),
+    "FN-5_round": ("SELECT p_partkey, ROUND(p_size) AS a, ROUND(p_size * 0.25) AS b FROM part", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, round(p_size * CAST(0.25 AS DOUBLE)) AS b FROM part"),
+    "FN-6_coalesce": ("SELECT d.doc_id, COALESCE(l.toxic, -1) AS a, COALESCE(NULL, l.quality, 0.5) AS b FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "SELECT d.doc_id, COALESCE(l.toxic, -1) AS a, COALESCE(CAST(l.quality AS DOUBLE), 0.5) AS b FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "FN-7_trim": ("SELECT n_nationkey, TRIM('  x y ') AS a, TRIM(n_name) AS b FROM nation", "SELECT n_nationkey, 'x y' AS a, trim(n_name) AS b FROM nation"),
+    "FN-8_nested": ("SELECT c_custkey, LENGTH(UPPER(TRIM(c_name))) AS a, ABS(ROUND(c_acctbal)) AS b FROM customer", "SELECT c_custkey, strlen(upper(trim(c_name))) AS a, abs(round(c_acctbal)) AS b FROM customer"),
+    "LIT-1_literals": ("SELECT n_nationkey, 123 AS a, 12.5 AS b, 'it''s' AS c, NULL AS d FROM nation", "SELECT n_nationkey, 123 AS a, CAST(12.5 AS DOUBLE) AS b, 'it''s' AS c, CAST(NULL AS VARCHAR) AS d FROM nation"),
+    # all together
+    "combined": ("SELECT n.n_name, COUNT(*) AS n_items, SUM(l.l_linenumber) AS s FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE l.l_quantity BETWEEN 5 AND 40 AND o.o_orderstatus IN ('F', 'O') AND c.c_mktsegment LIKE '%i%' GROUP BY n.n_name HAVING COUNT(*) > 10 ORDER BY n_items DESC, n_name LIMIT 10", "SELECT n.n_name, count(*) AS n_items, CAST(sum(l.l_linenumber) AS BIGINT) AS s FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE l.l_quantity BETWEEN 5 AND 40 AND o.o_orderstatus IN ('F', 'O') AND c.c_mktsegment ILIKE '%i%' GROUP BY n.n_name HAVING count(*) > 10 ORDER BY n_items DESC, n.n_name LIMIT 10"),
+    "flagship": ("SELECT n.n_name, COUNT(*) AS cnt, ROUND(SUM(o.o_totalprice), 2) AS total FROM nation n JOIN customer c ON n.n_nationkey = c.c_nationkey JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY n.n_name", "SELECT n.n_name, count(*) AS cnt, round(sum(o.o_totalprice), 2) AS total FROM nation n JOIN customer c ON n.n_nationkey = c.c_nationkey JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY n.n_name"),
+}
+
+
+def first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that is no key takes the value of the group's first row; the input order is that of the key."""
+    session = Session(spark)
+    session.register("orders", spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy("o_orderkey"))
+    return session.sql("SELECT o_custkey, o_orderkey, o_totalprice, COUNT(*) AS n FROM orders GROUP BY o_custkey")
+
+
+def unsorted_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = Session(spark)
+    session.register("orders", spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy("o_orderkey"))
+    return session.sql("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000 LIMIT 25")
+
+
+def _case(statement: str, **how) -> Callable[[SparkSession, str], DataFrame]:
+    return partial(_run_case, statement=statement, how=how)
+
+
+def _run_case(spark: SparkSession, sf_dir: str, statement: str, how: dict) -> DataFrame:
+    return run(spark, sf_dir, statement, **how)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _case(statement) for name, (statement, _) in CASES.items()}
+SQL: dict[str, str] = {name: oracle for name, (_, oracle) in CASES.items()}
+
+_JOINED = "SELECT n.n_name, COUNT(*) AS n FROM nation n JOIN supplier s ON n.n_nationkey = s.s_nationkey GROUP BY n.n_name"
+for _mode in ("auto", "nested", "hash"):
+    QUERIES[f"CMD-7_join_{_mode}"] = _case(_JOINED, mode=_mode)
+    SQL[f"CMD-7_join_{_mode}"] = _JOINED
+for _kind in ("hash", "sorted"):
+    QUERIES[f"CMD-8_index_{_kind}"] = _case(CASES["SRC-11_index_scan"][0], index=("orders", "o_custkey", _kind))
+    SQL[f"CMD-8_index_{_kind}"] = CASES["SRC-11_index_scan"][1]
+QUERIES["AGG-13_first_row"] = first_row
+SQL["AGG-13_first_row"] = "SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice, count(*) AS n FROM orders GROUP BY o_custkey"
+QUERIES["LIM-2_unsorted"] = unsorted_limit
+SQL["LIM-2_unsorted"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000 ORDER BY o_orderkey LIMIT 25"

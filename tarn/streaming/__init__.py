@@ -1,0 +1 @@
+"""The dialect has no streams, windows or watermarks, so there is nothing to stream here."""
