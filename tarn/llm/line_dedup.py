@@ -73,7 +73,7 @@ def drop_frequent_lines(docs: DataFrame, text_col: str = "text", documents: int
     """
     spark = docs.sparkSession
     frequent = saved(frequent_lines(docs, text_col, documents, least), scratch(spark, "lines"))
-    out_schema = docs.withColumns({text_col: F.lit("").cast("string"), "_n_lines": F.lit(0).cast("long"), "_n_dropped": F.lit(0).cast("long")}).schema
+    out_schema = docs.withColumns({text_col: F.lit(None).cast("string"), "_n_lines": F.lit(0).cast("long"), "_n_dropped": F.lit(0).cast("long")}).schema
     at, width = docs.columns.index(text_col), len(docs.columns)
     if frequent.count() <= broadcast_lines:
         pairs = np.array([(r["hi"], r["lo"]) for r in frequent.select("hi", "lo").collect()], "<i8").reshape(-1, 2)
