@@ -3,12 +3,12 @@
 1. Each document's word sequence is hashed; equal sequences are one node from here on.
 2. SuperMinHash with ``SLOTS`` slots, cut into ``SLOTS / ROWS`` bands: a pair at Jaccard 0.75 shares a band
    with probability 1 - 2e-5.
-3. In each band bucket all members are compared with its smallest and its largest node (two edges a member,
-   never all pairs).  Edges are first screened by signature (agreement under ``SCREEN`` is over four standard
+3. In each band bucket all members are compared with its smallest node (an edge a member, never all pairs).  Edges are first screened by signature (agreement under ``SCREEN`` is over four standard
    deviations below 0.75), then confirmed on the full shingle sets.  Confirmed links are merged.
 4. A bucket that still spans several groups is resolved in full: members outside its largest group are
    compared with all members of other groups, in blocks of bounded size, so no link is lost to the choice of
-   centres.  Pairs inside a group need no comparison.
+   centres.  Pairs inside a group need no comparison, so a first round confirms only each member's likeliest
+   pairs and merges what they link.
 
 Rows that move are small (a signature is 448 bytes); texts are read again only for nodes with screened pairs.
 Skewed buckets: counts are pre-aggregated, joins are split by AQE, blocks bound what a task holds.
@@ -25,6 +25,7 @@ from .common import WordIds, as_bytes, keyed, mix64, saved, scratch, space_words
 
 SLOTS, ROWS, SCREEN = 112, 4, 0.58
 QUERY_BLOCK, DATA_BLOCK = 4096, 1024
+ROUNDS, BEST = 1, 2
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1B54A32D192ED03)
 _WORDS = WordIds()
 
@@ -160,14 +161,19 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, name: str = "components", task_links: int = 1_000_000) -> DataFrame:
     """(node, component) of the linked nodes; the component is its smallest node.
 
-    Union-find inside each task, then rounds of large-star and small-star joins until nothing changes; every
-    round is written to the shared folder.
+    Union-find inside each task, over at most about ``task_links`` links.  If one task holds them all that is
+    the answer; else rounds of large-star and small-star joins until nothing changes, each written to the
+    shared folder.
     """
     spark, path = links.sparkSession, scratch(links.sparkSession, name)
-    edges = saved(links.mapInArrow(_forest, "a bigint, b bigint").distinct(), f"{path}/0")
+    tasks = -(-links.count() // task_links)
+    forest = links.coalesce(max(1, tasks)).mapInArrow(_forest, "a bigint, b bigint")
+    edges = saved(forest.distinct() if tasks > 1 else forest, f"{path}/0")
+    if tasks <= 1:
+        return saved(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct()), f"{path}/done")
     before = None
     for step in range(1, 200):
         both = edges.union(edges.select("b", "a"))
@@ -187,8 +193,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return saved(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(heads), f"{path}/done")
 
 
-def _cross(screen: float, slots: int):
-    """Pairs of one block of queries and one of members that belong to different groups and agree enough."""
+def _cross(screen: float, slots: int, best: int | None):
+    """Pairs of one block of queries and one of members that belong to different groups and agree enough.
+
+    With ``best`` a query gives only its pairs of highest agreement, for a round that merges groups.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         query = table.column("query").to_numpy(zero_copy_only=False)
@@ -198,7 +207,10 @@ def _cross(screen: float, slots: int):
         pairs = []
         for q in np.flatnonzero(query):
             other = data[group[data] != group[q]]
-            near = other[(signs[other] == signs[q]).mean(axis=1) >= screen] if len(other) else other
+            agree = (signs[other] == signs[q]).mean(axis=1) if len(other) else np.zeros(0)
+            near = other[agree >= screen]
+            if best is not None and len(near) > best:
+                near = near[np.argsort(-agree[agree >= screen], kind="stable")[:best]]
             pairs += [(min(node[q], node[x]), max(node[q], node[x])) for x in near]
         a = np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
         return pa.table({"a": a[:, 0], "b": a[:, 1]})
@@ -206,7 +218,7 @@ def _cross(screen: float, slots: int):
     return run
 
 
-def _unresolved_pairs(members: DataFrame, groups: DataFrame, signs: DataFrame, screen: float, slots: int) -> DataFrame:
+def _unresolved_pairs(members: DataFrame, groups: DataFrame, signs: DataFrame, screen: float, slots: int, best: int | None) -> DataFrame:
     """Screened pairs across groups in buckets that span several groups."""
     own = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -217,7 +229,7 @@ def _unresolved_pairs(members: DataFrame, groups: DataFrame, signs: DataFrame, s
     mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     data = rows.select("band", F.explode(F.sequence(F.lit(0), q_blocks - 1)).alias("qb"), mine(d_blocks).alias("db"), F.lit(False).alias("query"), "node", "component", "sign")
     queries = rows.where("component <> main").select("band", mine(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), d_blocks - 1)).alias("db"), F.lit(True).alias("query"), "node", "component", "sign")
-    return queries.union(data).groupBy("band", "qb", "db").applyInArrow(_cross(screen, slots), "a bigint, b bigint").distinct()
+    return queries.union(data).groupBy("band", "qb", "db").applyInArrow(_cross(screen, slots, best), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, slots: int = SLOTS, rows: int = ROWS, screen: float = SCREEN, broadcast_nodes: int = 200_000) -> DataFrame:
@@ -245,9 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bands = signs.mapInArrow(_bands(rows), "band bigint, node bigint")
     shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = saved(bands.join(shared, "band"), f"{path}/members")
-    ends = F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))
-    edges = members.select(F.inline(ends)).where("a < b").distinct()
+    members = saved(bands.join(shared.select("band", "lo"), "band"), f"{path}/members")
+    edges = members.select(F.col("lo").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Links among the screened pairs; texts are read for their nodes only."""
@@ -262,10 +273,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     screened = edges.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("sign_a")), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b")
     links = confirmed(screened.select("a", "b", "sign_a", "sign_b").mapInArrow(_agree(screen), "a bigint, b bigint"), "star")
     groups = components(links)
-    rest = confirmed(_unresolved_pairs(members.select("band", "node"), groups, signs, screen, slots).join(links, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.union(rest)
-        groups = components(links)
+    tested = spark.read.parquet(f"{path}/star-pairs")
+    for step in range(ROUNDS + 1):
+        # Rounds of the likeliest pairs merge groups; what is still apart then is compared in full.
+        best = BEST if step < ROUNDS else None
+        pairs = _unresolved_pairs(members.select("band", "node"), groups, signs, screen, slots, best)
+        new = confirmed(pairs.join(tested, ["a", "b"], "left_anti"), f"rest{step}")
+        tested = tested.union(spark.read.parquet(f"{path}/rest{step}-pairs"))
+        if not new.isEmpty():
+            links = links.union(new)
+            groups = components(links, f"components{step}")
 
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     labelled = nodes.select("node", "seq", "first", "n_copies").join(groups, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -394,8 +394,9 @@ def test_superminhash_estimates_and_equals_one_by_one():
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 200)] + [(500, 700), (600, 700), (900, 901)]
     RNG.shuffle(links)
-    got = dict(near_dedup.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect())
-    assert all(got[i] == 0 for i in range(201)) and got[700] == got[600] == 500 and got[901] == 900
+    for most in (1_000_000, 20):
+        got = dict(near_dedup.components(spark.createDataFrame(links, "a long, b long").repartition(7), task_links=most).collect())
+        assert all(got[i] == 0 for i in range(201)) and got[700] == got[600] == 500 and got[901] == 900 and len(got) == 206
 
 
 def test_toxicity(spark, docs, empty):
