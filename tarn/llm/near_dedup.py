@@ -3,12 +3,14 @@
 1. Each document's word sequence is hashed; equal sequences are one node from here on.
 2. SuperMinHash with ``SLOTS`` slots, cut into ``SLOTS / ROWS`` bands: a pair at Jaccard 0.75 shares a band
    with probability 1 - 2e-5.
-3. In each band bucket all members are compared with its smallest node (an edge a member, never all pairs).  Edges are first screened by signature (agreement under ``SCREEN`` is over four standard
-   deviations below 0.75), then confirmed on the full shingle sets.  Confirmed links are merged.
+3. In each band bucket all members are compared with its smallest node (an edge a member, never all pairs).
+   Edges are first screened by signature (agreement under ``SCREEN`` is over four standard deviations below
+   0.75), then confirmed on the full shingle sets.  Confirmed links are merged.
 4. A bucket that still spans several groups is resolved in full: members outside its largest group are
    compared with all members of other groups, in blocks of bounded size, so no link is lost to the choice of
-   centres.  Pairs inside a group need no comparison, so a first round confirms only each member's likeliest
-   pairs and merges what they link.
+   centres.  A first pass over signatures finds the members that have a screened pair in the bucket (a pair
+   counts in the first band it shares only); a second one takes the full shingle sets of those and confirms
+   inside the block, so only links leave a task, never the pairs that were looked at.
 
 Rows that move are small (a signature is 448 bytes); texts are read again only for nodes with screened pairs.
 Skewed buckets: counts are pre-aggregated, joins are split by AQE, blocks bound what a task holds.
@@ -18,14 +20,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordIds, as_bytes, keyed, mix64, saved, scratch, space_words
 
 SLOTS, ROWS, SCREEN = 112, 4, 0.58
+#: Members in a block of signatures; shingles in a block of sets, where a member counts ROW_WEIGHT more.
 QUERY_BLOCK, DATA_BLOCK = 4096, 1024
-ROUNDS, BEST = 1, 2
+QUERY_WEIGHT, DATA_WEIGHT, ROW_WEIGHT = 1_000_000, 500_000, 64
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1B54A32D192ED03)
 _WORDS = WordIds()
 
@@ -91,18 +94,23 @@ def _profile(width: int, slots: int):
     return run
 
 
+def band_keys(signs: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key per signature and band of ``rows`` slots; keys of different bands differ."""
+    per = signs.shape[1] // rows
+    h = np.broadcast_to(np.arange(per, dtype=np.uint64) + np.uint64(1), (len(signs), per)).copy()
+    for r in range(rows):
+        h = mix64(h * _BASE + signs[:, r : per * rows : rows].astype(np.uint64))
+    return h
+
+
 def _bands(rows: int):
     def run(batches):
         for batch in batches:
             nodes = batch.column("node").to_numpy()
             if not len(nodes):
                 continue
-            signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), "<u4").reshape(len(nodes), -1).astype(np.uint64)
-            per = signs.shape[1] // rows
-            h = np.broadcast_to(np.arange(per, dtype=np.uint64) + np.uint64(1), (len(nodes), per)).copy()
-            for r in range(rows):
-                h = mix64(h * _BASE + signs[:, r : per * rows : rows])
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(nodes, per))], ["band", "node"])
+            h = band_keys(np.frombuffer(b"".join(batch.column("sign").to_pylist()), "<u4").reshape(len(nodes), -1), rows)
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(nodes, h.shape[1]))], ["band", "node"])
 
     return run
 
@@ -117,6 +125,15 @@ def _agree(screen: float):
     return run
 
 
+def _sets(width: int):
+    def run(batches):
+        for batch in batches:
+            found = [shingles(x, width).astype("<u8").tobytes() for x in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    return run
+
+
 def _confirm(width: int, percent: int):
     def run(batches):
         last, own = None, None
@@ -193,53 +210,99 @@ def components(links: DataFrame, name: str = "components", task_links: int = 1_0
     return saved(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(heads), f"{path}/done")
 
 
-def _cross(screen: float, slots: int, best: int | None):
-    """Pairs of one block of queries and one of members that belong to different groups and agree enough.
+def _suspects(screen: float, slots: int, rows: int):
+    """Members of one block of queries and one of members that have a screened pair across groups there.
 
-    With ``best`` a query gives only its pairs of highest agreement, for a round that merges groups.
+    A pair counts in the first band it shares, so it is looked at once however many buckets it meets in.
     """
 
     def run(table: pa.Table) -> pa.Table:
         query = table.column("query").to_numpy(zero_copy_only=False)
         node, group = table.column("node").to_numpy(), table.column("component").to_numpy()
         signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), "<u4").reshape(len(node), slots)
-        data = np.flatnonzero(~query)
-        pairs = []
+        keys, band = band_keys(signs, rows), table.column("band").to_numpy()[0]
+        found, data = np.zeros(len(node), bool), np.flatnonzero(~query)
+        place = int(np.flatnonzero(keys[0].view(np.int64) == band)[0])
         for q in np.flatnonzero(query):
             other = data[group[data] != group[q]]
-            agree = (signs[other] == signs[q]).mean(axis=1) if len(other) else np.zeros(0)
-            near = other[agree >= screen]
-            if best is not None and len(near) > best:
-                near = near[np.argsort(-agree[agree >= screen], kind="stable")[:best]]
-            pairs += [(min(node[q], node[x]), max(node[q], node[x])) for x in near]
-        a = np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
+            near = other[(signs[other] == signs[q]).sum(axis=1) >= screen * slots]
+            near = near[~(keys[near, :place] == keys[q, :place]).any(axis=1)]
+            found[near] = True
+            found[q] = len(near) > 0
+        node = np.unique(node[found])
+        return pa.table({"band": np.full(len(node), band, np.int64), "node": node})
+
+    return run
+
+
+def _resolve(percent: int):
+    """Links across groups of one block of queries and one of members, by their full shingle sets.
+
+    Shingles are ranked, rarest in the block first; two sets with enough in common share one of the first
+    n - ceil(n * percent / 100) + 1.  Sets that do are intersected in full, unless links found before have
+    joined their groups: at most one link a merge leaves the task.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        query = table.column("query").to_numpy(zero_copy_only=False)
+        node = table.column("node").to_numpy()
+        group = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        sets = table.column("shingles").to_pylist()
+        size = np.array([len(x) // 8 for x in sets], np.int64)
+        owner, start = np.repeat(np.arange(len(node)), size), np.cumsum(size) - size
+        _, ids, counts = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True, return_counts=True)
+        rank = np.empty(len(counts), np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        ids = rank[ids]
+        ids = ids[np.lexsort((ids, owner))]
+        first = size + (-percent * size // 100) + 1
+        held = (np.arange(len(ids)) - start[owner] < first[owner]) & ~query[owner]
+        order = np.argsort(ids[held], kind="stable")
+        holders, at = owner[held][order], np.searchsorted(ids[held][order], np.arange(len(counts) + 1))
+        mark, links = np.zeros(len(counts), bool), []
+        for q in np.flatnonzero(query):
+            own = ids[start[q] : start[q] + size[q]]
+            left = np.unique(np.concatenate([holders[at[i] : at[i + 1]] for i in own[: first[q]]]))
+            left = left[100 * np.minimum(size[left], size[q]) >= percent * np.maximum(size[left], size[q])]
+            mark[own], take = True, 8
+            while len(left := left[group[left] != group[q]]):
+                some, left, take = left[:take], left[take:], 512
+                ends = np.cumsum(size[some])
+                both = np.add.reduceat(mark[ids[np.arange(ends[-1]) + np.repeat(start[some] - ends + size[some], size[some])]], ends - size[some], dtype=np.int64)
+                for x in some[100 * both >= percent * (size[q] + size[some] - both)]:
+                    if group[x] != group[q]:
+                        links.append((min(node[q], node[x]), max(node[q], node[x])))
+                        group[group == group[x]] = group[q]
+            mark[own] = False
+        a = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": a[:, 0], "b": a[:, 1]})
 
     return run
 
 
-def _unresolved_pairs(members: DataFrame, groups: DataFrame, signs: DataFrame, screen: float, slots: int, best: int | None) -> DataFrame:
-    """Screened pairs across groups in buckets that span several groups."""
-    own = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counts = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    mixed = mixed.select("band", F.col("top.component").alias("main"), "total", (F.col("total") - F.col("top.n")).alias("others"))
-    rows = own.join(mixed, "band").join(signs, "node")
-    q_blocks, d_blocks = F.ceil(F.col("others") / QUERY_BLOCK).cast("int"), F.ceil(F.col("total") / DATA_BLOCK).cast("int")
+def _blocks(rows: DataFrame, weight: Column, q_most: int, d_most: int) -> DataFrame:
+    """Blocks (band, qb, db) of queries and members of the buckets in ``rows`` that span several groups.
+
+    Queries are the members outside the largest group; each meets every member in exactly one block.
+    """
+    counts = rows.groupBy("band", "component").agg(F.sum(weight).alias("w"))
+    mixed = counts.groupBy("band").agg(F.max(F.struct("w", "component")).alias("top"), F.sum("w").alias("total"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    mixed = mixed.select("band", F.col("top.component").alias("main"), F.ceil((F.col("total") - F.col("top.w")) / q_most).cast("int").alias("qs"), F.ceil(F.col("total") / d_most).cast("int").alias("ds"))
+    rows = rows.join(mixed, "band")
     mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    data = rows.select("band", F.explode(F.sequence(F.lit(0), q_blocks - 1)).alias("qb"), mine(d_blocks).alias("db"), F.lit(False).alias("query"), "node", "component", "sign")
-    queries = rows.where("component <> main").select("band", mine(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), d_blocks - 1)).alias("db"), F.lit(True).alias("query"), "node", "component", "sign")
-    return queries.union(data).groupBy("band", "qb", "db").applyInArrow(_cross(screen, slots, best), "a bigint, b bigint").distinct()
+    data = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), mine(F.col("ds")).alias("db"), F.lit(False).alias("query"), "node", "component")
+    queries = rows.where("component <> main").select("band", mine(F.col("qs")).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("ds") - 1)).alias("db"), F.lit(True).alias("query"), "node", "component")
+    return queries.union(data)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, slots: int = SLOTS, rows: int = ROWS, screen: float = SCREEN, broadcast_nodes: int = 200_000) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, kept (and row_id, n_copies, links).
+    """A row per document: doc_id, n_shingles, component_id, kept (and row_id, n_copies).
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds distinct shingles of ``width``
     words, or the whole sequence if it is shorter.  Documents with 100 * intersection >= percent * union are
     linked; component_id is the smallest doc_id reachable (null ids come last).  Null, empty or blank text has
-    an empty set and links with nothing.  Of repeated rows the first alone is kept.  ``links`` is the number
-    of confirmed links of the document's word sequence, ``n_copies`` that of documents with that sequence.
+    an empty set and links with nothing.  Of repeated rows the first alone is kept.  ``n_copies`` is the number
+    of documents with that word sequence.
     ``docs`` may hold ``row_id`` made by ``common.keyed``.
     """
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "near")
@@ -260,38 +323,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = saved(bands.join(shared.select("band", "lo"), "band"), f"{path}/members")
     edges = members.select(F.col("lo").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among the screened pairs; texts are read for their nodes only."""
-        pairs = saved(pairs, f"{path}/{name}-pairs")
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def texts_of(needed: DataFrame, name: str) -> DataFrame:
         places = saved(nodes.join(needed, "node").select("node", "first.f", "first.i"), f"{path}/{name}-places")
         few = places.count() <= broadcast_nodes
-        texts = saved(docs.join(F.broadcast(places) if few else places, ["f", "i"]).select("node", "text"), f"{path}/{name}-texts")
-        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return saved(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a bigint, b bigint"), f"{path}/{name}-links")
+        return docs.join(F.broadcast(places) if few else places, ["f", "i"]).select("node", "text")
 
     screened = edges.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("sign_a")), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b")
-    links = confirmed(screened.select("a", "b", "sign_a", "sign_b").mapInArrow(_agree(screen), "a bigint, b bigint"), "star")
+    pairs = saved(screened.select("a", "b", "sign_a", "sign_b").mapInArrow(_agree(screen), "a bigint, b bigint"), f"{path}/star-pairs")
+    texts = saved(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "star"), f"{path}/star-texts")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    links = saved(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a bigint, b bigint"), f"{path}/star-links")
     groups = components(links)
-    tested = spark.read.parquet(f"{path}/star-pairs")
-    for step in range(ROUNDS + 1):
-        # Rounds of the likeliest pairs merge groups; what is still apart then is compared in full.
-        best = BEST if step < ROUNDS else None
-        pairs = _unresolved_pairs(members.select("band", "node"), groups, signs, screen, slots, best)
-        new = confirmed(pairs.join(tested, ["a", "b"], "left_anti"), f"rest{step}")
-        tested = tested.union(spark.read.parquet(f"{path}/rest{step}-pairs"))
-        if not new.isEmpty():
-            links = links.union(new)
-            groups = components(links, f"components{step}")
-
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    labelled = nodes.select("node", "seq", "first", "n_copies").join(groups, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    # What is still apart, in full: the members that may have links by signature, then their sets.
+    blocks = _blocks(grouped(members.select("band", "node")), F.lit(1), QUERY_BLOCK, DATA_BLOCK).join(signs, "node")
+    suspects = saved(blocks.groupBy("band", "qb", "db").applyInArrow(_suspects(screen, slots, rows), "band bigint, node bigint").distinct(), f"{path}/suspects")
+    sets = saved(texts_of(suspects.select("node").distinct(), "rest").mapInArrow(_sets(width), "node bigint, shingles binary"), f"{path}/sets")
+    weighed = grouped(suspects).join(nodes.select("node", "n"), "node")
+    blocks = _blocks(weighed, F.col("n") + ROW_WEIGHT, QUERY_WEIGHT, DATA_WEIGHT).join(sets, "node")
+    new = saved(blocks.groupBy("band", "qb", "db").applyInArrow(_resolve(percent), "a bigint, b bigint").distinct(), f"{path}/rest-links")
+    if not new.isEmpty():
+        groups = components(links.union(new), "components-all")
+
+    labelled = nodes.select("node", "seq", "first", "n_copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = labelled.groupBy("component").agg(F.min("first").alias("head"))
-    labelled = saved(labelled.join(heads, "component").select("seq", "head", "n_copies", F.coalesce("links", F.lit(0)).alias("links")), f"{path}/labelled")
+    labelled = saved(labelled.join(heads, "component").select("seq", "head", "n_copies"), f"{path}/labelled")
     out = profile.drop("sign").join(labelled, "seq", "left")
     alone = F.col("head").isNull()
     kept = alone | (F.col("head.f").eqNullSafe(F.col("f")) & F.col("head.i").eqNullSafe(F.col("i")))
-    return out.select("doc_id", F.struct("f", "i").alias("row_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), kept.alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("doc_id", F.struct("f", "i").alias("row_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), kept.alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -367,6 +367,32 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
+def test_near_dedup_blocks(spark, monkeypatch):
+    """A crowd just under the limit, with chains over it, gives the groups of brute force however it is cut into blocks."""
+    rng = np.random.default_rng(3)
+    shared, rows = [f"s{i}" for i in range(120)], []
+    for i in range(90):
+        own = [f"o{rng.integers(1 << 40)}" for _ in range(rng.integers(12, 34))]
+        rows.append((i, " ".join(shared + own)))
+        if i % 9 == 0:
+            rows.append((1000 + i, " ".join(shared + own[:-6] + [f"p{i}"])))
+    sets = [shingle_set(t) for _, t in rows]
+    group = [r[0] for r in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    want = {r[0]: g for r, g in zip(rows, group, strict=True)}
+    assert 10 < len(set(group)) < 90
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for sizes in ({}, {"QUERY_BLOCK": 7, "DATA_BLOCK": 5, "QUERY_WEIGHT": 2000, "DATA_WEIGHT": 900}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(near_dedup, name, value)
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(made).collect()} == want
+
+
 def test_superminhash_estimates_and_equals_one_by_one():
     rng = np.random.default_rng(1)
 
