@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, alnum_words, as_bytes, mix64, saved, scratch
+from .common import ALNUM_TABLE, alnum_words, as_bytes, mix64, pieces, saved, scratch, small_batches
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _HITS, _ITEMS = "_hit_words", "_hit_items"
@@ -99,7 +99,7 @@ def _spans(hit: np.ndarray) -> list[int]:
 def _mark(windows, text_at: int, schema: pa.Schema):
     def run(batches):
         found = windows.value
-        for batch in batches:
+        for batch in pieces(batches):
             old_hits, old_items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             counts, hits, items = [], [], []
             for text, before, names in zip(as_bytes(batch.column(text_at)), old_hits, old_items, strict=True):
@@ -119,6 +119,7 @@ def _mark(windows, text_at: int, schema: pa.Schema):
 def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """docs with _n_words, _hit_words (flat word intervals) and _hit_items (sorted distinct ids as strings)."""
     spark = docs.sparkSession
+    small_batches(spark)
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("t")).where("t IS NOT NULL")
     total = bench.agg(F.sum(F.length("t"))).head()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -174,7 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     counted = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             columns, texts = batch.columns[:-1], batch.column(at).to_pylist()
             sizes = columns[counted].to_pylist() if counted is not None else None
             for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, as_bytes, keyed, mix64, saved, scratch, space_words
+from .common import WordIds, as_bytes, keyed, mix64, pieces, saved, scratch, small_batches, space_words
 
 SLOTS, ROWS, SCREEN = 112, 4, 0.58
 #: Members in a block of signatures; shingles in a block of sets, where a member counts ROW_WEIGHT more.
@@ -46,15 +46,22 @@ def shingles(text: bytes, width: int = 5) -> np.ndarray:
     return np.unique(mix64(h + np.uint64(width)))
 
 
-def superminhash(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+def superminhash(elements: np.ndarray, slots: int = SLOTS, block: int = 8192) -> np.ndarray:
     """The signature of a set of 64-bit hashes: per slot the least of step + fraction, as step << 32 | fraction.
 
     At step j an element visits the j-th slot of its own random permutation with the value j + a fraction.
-    Steps run for all elements together and end as soon as no slot holds a value of the next step or more,
-    which gives the signature that going through the elements one by one with early stopping gives.
+    Steps run for ``block`` elements together and end as soon as no slot holds a value of the next step or
+    more, which gives the signature that going through the elements one by one with early stopping gives.
     """
     best = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
-    low, full = np.uint64(0xFFFFFFFF), np.uint64(32)
+    for i in range(0, len(elements), block):
+        _lower(best, elements[i : i + block])
+    return best
+
+
+def _lower(best: np.ndarray, elements: np.ndarray) -> None:
+    """Lower the slots of ``best`` to what the elements give."""
+    slots, low, full = len(best), np.uint64(0xFFFFFFFF), np.uint64(32)
     order = rows = None
     for j in range(slots):
         x = mix64(elements + _STEP * np.uint64(j + 1))
@@ -74,14 +81,13 @@ def superminhash(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
         np.minimum.at(best, at, (np.uint64(j) << full) | (x >> full))
         if int(best.max()) >> 32 <= j:
             break
-    return best
 
 
 def _profile(width: int, slots: int):
     def run(batches):
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, keys, signs = [], [], []
             for text in as_bytes(batch.column("text")):
                 words = space_words(text)
@@ -127,7 +133,7 @@ def _agree(screen: float):
 
 def _sets(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [shingles(x, width).astype("<u8").tobytes() for x in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
 
@@ -137,7 +143,7 @@ def _sets(width: int):
 def _confirm(width: int, percent: int):
     def run(batches):
         last, own = None, None
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             for a, text_a, text_b in zip(batch.column("a").to_pylist(), as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b")), strict=True):
                 if a != last:
@@ -306,6 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``docs`` may hold ``row_id`` made by ``common.keyed``.
     """
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "near")
+    small_batches(spark)
     if "row_id" not in docs.columns:
         docs = keyed(docs.select(id_col, text_col))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col("row_id.f").alias("f"), F.col("row_id.i").alias("i"), F.col(text_col).cast("string").alias("text"))

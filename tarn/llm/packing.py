@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, saved, scratch
+from .common import keyed, saved, scratch, small_batches
 from .encoding import default_path, encoder
 
 _TOKENS = "doc_id bigint, f bigint, i bigint, part int, n bigint, crcs array<bigint>, n_full bigint, full_before bigint, rest bigint, rest_crc bigint, class int, rank bigint, fill_before bigint, ids binary"
@@ -196,6 +196,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length:
     Sequences shorter than ``length`` are to be padded, unless their length is a power of two.
     """
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "packing")
+    small_batches(spark)
     if "row_id" not in docs.columns:
         docs = keyed(docs.select("doc_id", "text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("row_id.f").alias("f"), F.col("row_id.i").alias("i"), F.col("text").cast("string").alias("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, as_bytes
+from .common import alnum_words, as_bytes, pieces, small_batches
 
 PREFIXES = (4, 5, 6)
 
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int
 
     def number(batches):
         find = _Numbers(known)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([find.of(t) for t in as_bytes(batch.column(1))], pa.list_(pa.int32()))], ["label", "terms"])
 
     got = rows.mapInArrow(number, "label int, terms array<int>").collect()
@@ -175,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "_score") -> DataFrame:
     """docs with a column of scores from 0 to 1; null text is scored as empty text."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     schema = docs.withColumn(out, F.lit(0.0)).schema
@@ -182,7 +183,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str
     def run(batches):
         own = held.value
         find = _Numbers(own.known)
-        for batch in batches:
+        for batch in pieces(batches):
             if own.machine is None:
                 scores = np.full(batch.num_rows, own.prior)
             else:

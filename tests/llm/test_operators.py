@@ -409,7 +409,7 @@ def test_superminhash_estimates_and_equals_one_by_one():
 
     for n in (1, 3, 20, 200):
         e = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        assert near_dedup.superminhash(e, 16).tolist() == one_by_one(e, 16)
+        assert near_dedup.superminhash(e, 16).tolist() == near_dedup.superminhash(e, 16, block=7).tolist() == one_by_one(e, 16)
     errors = []
     for _ in range(60):
         e = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
