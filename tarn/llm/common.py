@@ -90,19 +90,21 @@ def as_bytes(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batches, rows: int = 512):
-    """The batches in slices of at most ``rows`` rows, so that a task holds few texts as Python objects at once.
+def give_back() -> None:
+    """What is free in this worker goes back to the system: workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
-    Workers are kept for later stages: what is free at the end goes back to the system.
-    """
+
+def pieces(batches, rows: int = 512):
+    """The batches in slices of at most ``rows`` rows, so that a task holds few texts as Python objects at once."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
     batch = None
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    give_back()
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, as_bytes, keyed, mix64, pieces, saved, scratch, small_batches, space_words
+from .common import WordIds, as_bytes, give_back, keyed, mix64, pieces, saved, scratch, small_batches, space_words
 
 SLOTS, ROWS, SCREEN = 112, 4, 0.58
 #: Members in a block of signatures; shingles in a block of sets, where a member counts ROW_WEIGHT more.
@@ -117,6 +117,7 @@ def _bands(rows: int):
                 continue
             h = band_keys(np.frombuffer(b"".join(batch.column("sign").to_pylist()), "<u4").reshape(len(nodes), -1), rows)
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(nodes, h.shape[1]))], ["band", "node"])
+        give_back()
 
     return run
 
@@ -236,6 +237,8 @@ def _suspects(screen: float, slots: int, rows: int):
             found[near] = True
             found[q] = len(near) > 0
         node = np.unique(node[found])
+        del signs, keys
+        give_back()
         return pa.table({"band": np.full(len(node), band, np.int64), "node": node})
 
     return run
@@ -280,6 +283,8 @@ def _resolve(percent: int):
                         links.append((min(node[q], node[x]), max(node[q], node[x])))
                         group[group == group[x]] = group[q]
             mark[own] = False
+        del sets, owner, ids, counts, rank, held, order, holders, at, mark
+        give_back()
         a = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": a[:, 0], "b": a[:, 1]})
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, saved, scratch, small_batches
+from .common import give_back, keyed, saved, scratch, small_batches
 from .encoding import default_path, encoder
 
 _TOKENS = "doc_id bigint, f bigint, i bigint, part int, n bigint, crcs array<bigint>, n_full bigint, full_before bigint, rest bigint, rest_crc bigint, class int, rank bigint, fill_before bigint, ids binary"
@@ -128,8 +128,8 @@ def _encode(path: str, end_id: int, length: int, unit: int, filler: int):
 
         part, fulls, fills, ranks, at = TaskContext.get().partitionId(), 0, 0, {}, 0
         for batch in batches:
-            for b in range(0, batch.num_rows, 256):
-                some, rows = batch.slice(b, 256), []
+            for b in range(0, batch.num_rows, 64):
+                some, rows = batch.slice(b, 64), []
                 texts = [t or "" for t in some.column("text").to_pylist()]
                 for doc_id, f, i, raw in zip(some.column("doc_id").to_pylist(), some.column("f").to_pylist(), some.column("i").to_pylist(), encoder(path).ids(texts), strict=True):
                     raw += end_id.to_bytes(4, "little")
@@ -146,6 +146,7 @@ def _encode(path: str, end_id: int, length: int, unit: int, filler: int):
                         ranks[c] = rank + 1
                     fulls, fills, at = fulls + n_full, fills + rest * fill, at + 1
                 yield _batch(rows, _TOKENS)
+        give_back()
 
     return run
 
