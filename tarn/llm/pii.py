@@ -4,8 +4,8 @@ Base spans (email, ip, card, phone) are found in whole texts, left to right, eac
 Every different value found is a protected entity c.  Terms are words within ``reach`` words of one of its
 occurrences.  Over the corpus, PMI(c; t) = log2(N * n(c, t) / (n(c) * n(t))) bits tell how strongly t reveals
 c, where n(c, t) counts documents with t beside c, and n(c), n(t) documents with c or t anywhere.  It is at
-most IC(c) = log2(N / n(c)).  A term that reaches ``alpha * IC(c)`` (and ``support`` documents) is disclosing:
-its occurrences beside c become spans of kind ``term``.  Sanitising generalises base spans to their kind and
+most IC(c) = log2(N / n(c)).  A term that reaches ``alpha * IC(c)`` is disclosing, also when c stands in a single
+document; ``support`` can ask for more documents, the default asks for none.  A disclosing term's occurrences beside c become spans of kind ``term``.  Sanitising generalises base spans to their kind and
 removes disclosing terms.
 
 Contexts are bounded per occurrence, so pairs grow with the input, not with its square; all counts are
@@ -161,7 +161,7 @@ def _document_counts(wanted):
     return run
 
 
-def personal_data(docs: DataFrame, reach: int = 5, support: int = 3, alpha: float = 0.75, broadcast_terms: int = 500_000) -> DataFrame:
+def personal_data(docs: DataFrame, reach: int = 5, support: int = 1, alpha: float = 0.75, broadcast_terms: int = 500_000) -> DataFrame:
     """A row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, row_id.
 
     docs has doc_id and text; null text is empty.  ``spans`` lists ``kind:start:end`` by kind (term last), then
@@ -186,7 +186,7 @@ def personal_data(docs: DataFrame, reach: int = 5, support: int = 3, alpha: floa
     scored = pairs.join(n_t, "t").join(n_c, "c")
     pmi = F.log2(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     bits = F.log2(F.lit(n) / F.col("n_c"))
-    disclosing = saved(scored.where((bits > 0) & (pmi >= alpha * bits)).select("c", "t"), f"{path}/disclosing")
+    disclosing = saved(scored.where((bits > 0) & (pmi >= alpha * bits - 1e-9)).select("c", "t"), f"{path}/disclosing")
 
     beside = found.select("f", "i", F.explode("ctx").alias("x")).select("f", "i", "x.*").join(disclosing, ["c", "t"])
     spans = beside.groupBy("f", "i").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("terms"))

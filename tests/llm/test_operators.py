@@ -293,6 +293,12 @@ def test_personal_data(spark, docs, empty):
     assert "<EMAIL>" in clean[0] and "wrote" not in clean[0] and "me@home" not in clean[0] and clean[20] == told[20][1]
 
 
+def test_rare_values_have_terms(spark):
+    told = [(i, "the agent zorro wrote from me@home.org" if i == 3 else f"the agent wrote thing {i}") for i in range(40)]
+    spans = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    assert spans[3] == "email:27:38,term:10:15,term:22:26" and not any(v for i, v in spans.items() if i != 3)
+
+
 def test_packing(spark, docs, empty):
     from tarn.llm.common import keyed
 
