@@ -1,16 +1,18 @@
 """Personal data: base patterns, and terms that give a protected entity away.
 
 Base spans (email, ip, card, phone) are found in whole texts, left to right, each kind without overlaps.
-Every different value found is a protected entity c.  Terms are words within ``reach`` words of one of its
-occurrences.  Over the corpus, PMI(c; t) = log2(N * n(c, t) / (n(c) * n(t))) bits tell how strongly t reveals
-c, where n(c, t) counts documents with t beside c, and n(c), n(t) documents with c or t anywhere.  It is at
-most IC(c) = log2(N / n(c)).  A term that reaches ``alpha * IC(c)`` is disclosing, also when c stands in a single
-document; ``support`` can ask for more documents, the default asks for none.  A disclosing term's occurrences beside c become spans of kind ``term``.  Sanitising generalises base spans to their kind and
-removes disclosing terms.
-
-Contexts are bounded per occurrence, so pairs grow with the input, not with its square; all counts are
-pre-aggregated per task; n(t) needs one more pass over the texts, for candidate terms only while their
-measured number fits a broadcast, else for all terms.
+Every different value found is a protected entity c.  Terms are the words of three letters or more of the
+documents that hold c, wherever they stand.  Over the corpus, PMI(c; t) = log2(N * n(c, t) / (n(c) * n(t)))
+bits tell how strongly t reveals c, where n(c, t) counts documents with t and c, and n(c), n(t) documents with
+c or t.  It is at most IC(c) = log2(N / n(c)).  A term that reaches ``alpha * IC(c)`` is disclosing, also when
+c stands in a single document; ``support`` can ask for more documents, the default asks for none.  All
+occurrences of a disclosing term in the documents that hold c become spans of kind ``term``.  Sanitising
+generalises base spans to their kind and removes disclosing terms.
+
+Only documents that hold a value have candidates.  As n(c, t) <= n(c), a term can reach the limit only where
+n(t) <= n(c)^alpha * N^(1 - alpha): others are left out before pairs are made, which changes no result.  All
+counts are pre-aggregated per task; n(t) needs one more pass over the texts, for candidate terms only while
+their measured number fits a broadcast, else for all terms.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, saved, scratch
+from .common import keyed, pieces, saved, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -110,39 +112,35 @@ def entity(kind: str, value: str) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def context(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[dict]:
-    """Words beside each base span: entity, term, place.  Words that touch a base span are none."""
-    out, room = [], 24 * reach
-    taken = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        c = entity(kind, text[a:b])
-        left = [m.span() for m in _WORD.finditer(text, max(0, a - room), a)]
-        right = [m.span() for m in _WORD.finditer(text, b, min(len(text), b + room))]
-        for x, y in left[-reach:] + right[:reach]:
-            cut = x > 0 and text[x - 1].isalpha() or y < len(text) and text[y].isalpha()
-            if not cut and not any(p < y and x < q for p, q in taken):
-                out.append({"c": c, "t": text[x:y].lower(), "a": x, "b": y})
-    return out
+def words_beside(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """All words of a text with base spans: term and places.  Words that touch a base span are none."""
+    places: dict[str, list[dict]] = {}
+    taken, k, last = sorted((a, b) for _, a, b in spans), 0, 0
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        while k < len(taken) and taken[k][0] < y:  # the spans that start before the word's end
+            last = max(last, taken[k][1])
+            k += 1
+        if last <= x:
+            places.setdefault(m[0].lower(), []).append({"a": x, "b": y})
+    return [{"t": t, "at": at} for t, at in places.items()]
 
 
-_CTX = pa.list_(pa.struct([("c", pa.int64()), ("t", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
-_FOUND = "doc_id bigint, f bigint, i bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, base_sha256 string, entities array<bigint>, ctx array<struct<c:bigint,t:string,a:int,b:int>>"
+_WORDS = pa.list_(pa.struct([("t", pa.string()), ("at", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
+_FOUND = "doc_id bigint, f bigint, i bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, base_sha256 string, entities array<bigint>, words array<struct<t:string,at:array<struct<a:int,b:int>>>>"
 
 
-def _find(reach: int):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                spans = base_spans(text or "")
-                base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-                n = [sum(k == kind for k, _, _ in spans) for kind in KINDS] if spans else [0, 0, 0, 0]
-                rows.append((*n, base, hashlib.sha256(base.encode()).hexdigest(), sorted({entity(k, text[a:b]) for k, a, b in spans}) if spans else [], context(text, spans, reach) if spans else []))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(pa.int64()), _CTX]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("f"), batch.column("i"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "f", "i", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "entities", "ctx"])
-
-    return run
+def _find(batches):
+    for batch in pieces(batches):
+        rows = []
+        for text in batch.column("text").to_pylist():
+            spans = base_spans(text or "")
+            base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+            n = [sum(k == kind for k, _, _ in spans) for kind in KINDS] if spans else [0, 0, 0, 0]
+            rows.append((*n, base, hashlib.sha256(base.encode()).hexdigest(), sorted({entity(k, text[a:b]) for k, a, b in spans}) if spans else [], words_beside(text, spans) if spans else []))
+        columns = list(zip(*rows, strict=True)) or [()] * 8
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(pa.int64()), _WORDS]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("f"), batch.column("i"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "f", "i", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "entities", "words"])
 
 
 def _document_counts(wanted):
@@ -161,7 +159,7 @@ def _document_counts(wanted):
     return run
 
 
-def personal_data(docs: DataFrame, reach: int = 5, support: int = 1, alpha: float = 0.75, broadcast_terms: int = 500_000) -> DataFrame:
+def personal_data(docs: DataFrame, support: int = 1, alpha: float = 0.75, broadcast_terms: int = 500_000) -> DataFrame:
     """A row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, row_id.
 
     docs has doc_id and text; null text is empty.  ``spans`` lists ``kind:start:end`` by kind (term last), then
@@ -172,24 +170,32 @@ def personal_data(docs: DataFrame, reach: int = 5, support: int = 1, alpha: floa
     if "row_id" not in docs.columns:
         docs = keyed(docs.select("doc_id", "text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("row_id.f").alias("f"), F.col("row_id.i").alias("i"), F.col("text").cast("string").alias("text"))
-    found = saved(rows.mapInArrow(_find(reach), _FOUND), f"{path}/found")
+    found = saved(rows.mapInArrow(_find, _FOUND), f"{path}/found")
 
-    pairs = found.select(F.explode(F.array_distinct(F.transform("ctx", lambda x: F.struct(x["c"], x["t"]))))).select("col.*").groupBy("c", "t").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    pairs = saved(pairs, f"{path}/pairs")
-    terms = pairs.select("t").distinct()
+    n = float(found.count())
+    n_c = found.select(F.explode("entities").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
+    n_c = saved(n_c, f"{path}/n_c")
+    most = n_c.agg(F.max("n_c")).first()[0] or 0
+    words = found.where(F.size("entities") > 0).select("f", "i", F.explode("words").alias("w")).select("f", "i", "w.*")
+    terms = words.select("t").distinct()
     wanted = None
     if terms.count() <= broadcast_terms:
         wanted = spark.sparkContext.broadcast(frozenset(r["t"] for r in terms.collect()))
     n_t = rows.select("text").mapInArrow(_document_counts(wanted), "t string, n_t bigint").groupBy("t").agg(F.sum("n_t").alias("n_t"))
-    n_c = found.select(F.explode("entities").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
-    n = float(found.count())
-    scored = pairs.join(n_t, "t").join(n_c, "c")
+    limit = lambda c: F.pow(c, F.lit(alpha)) * n ** (1 - alpha) * (1 + 1e-9)
+    rare = saved(words.join(n_t.where(F.col("n_t") <= limit(F.lit(float(most)))), "t"), f"{path}/rare")
+
+    held = found.select("f", "i", F.explode("entities").alias("c")).join(n_c, "c")
+    both = rare.select("f", "i", "t", "n_t").join(held, ["f", "i"]).where(F.col("n_t") <= limit(F.col("n_c")))
+    both = saved(both, f"{path}/both")
+    scored = both.groupBy("c", "t", "n_c", "n_t").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
     pmi = F.log2(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     bits = F.log2(F.lit(n) / F.col("n_c"))
-    disclosing = saved(scored.where((bits > 0) & (pmi >= alpha * bits - 1e-9)).select("c", "t"), f"{path}/disclosing")
+    disclosing = scored.where((bits > 0) & (pmi >= alpha * bits - 1e-9)).select("c", "t")
 
-    beside = found.select("f", "i", F.explode("ctx").alias("x")).select("f", "i", "x.*").join(disclosing, ["c", "t"])
-    spans = beside.groupBy("f", "i").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("terms"))
+    marked = both.join(disclosing, ["c", "t"]).select("f", "i", "t").distinct()
+    places = rare.join(marked, ["f", "i", "t"]).select("f", "i", F.explode("at").alias("x"))
+    spans = places.groupBy("f", "i").agg(F.sort_array(F.collect_list("x")).alias("terms"))
     out = found.join(spans, ["f", "i"], "left")
     more = F.transform(F.coalesce("terms", F.array()), lambda x: F.concat(F.lit("term:"), x["a"].cast("string"), F.lit(":"), x["b"].cast("string")))
     listed = F.array_join(F.filter(F.concat(F.array("base"), more), lambda x: x != ""), ",")

@@ -1,6 +1,8 @@
 """Operators against brute force on small odd tables: nulls, empty and long texts, ties, repeated rows, clashing names."""
 
 import hashlib
+import math
+import os
 import random
 import re
 import struct
@@ -299,6 +301,42 @@ def test_rare_values_have_terms(spark):
     assert spans[3] == "email:27:38,term:10:15,term:22:26" and not any(v for i, v in spans.items() if i != 3)
 
 
+def plain_terms(texts, alpha=0.75):
+    """Per text the spans of words whose PMI with a value of that text reaches alpha of its information."""
+    words = [[(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", t or "")] for t in texts]
+    spans = [plain_spans(t or "") for t in texts]
+    values = [{pii.entity(k, t[a:b]) for k, a, b in s} for t, s in zip(texts, spans, strict=True)]
+    free = [[w for w in ws if all(w[2] <= a or b <= w[1] for _, a, b in s)] for ws, s in zip(words, spans, strict=True)]
+    n_t, n_c = Counter(w for ws in words for w in {x[0] for x in ws}), Counter(c for own in values for c in own)
+    n_ct = Counter((c, w) for own, ws in zip(values, free, strict=True) for c in own for w in {x[0] for x in ws})
+    bits = lambda c: math.log2(len(texts) / n_c[c])
+    told = {(c, w) for (c, w), n in n_ct.items() if bits(c) > 0 and math.log2(len(texts) * n / (n_c[c] * n_t[w])) >= alpha * bits(c) - 1e-9}
+    return [{(a, b) for w, a, b in ws if any((c, w) in told for c in own)} for own, ws in zip(values, free, strict=True)]
+
+
+def term_places(spans):
+    return {(int(a), int(b)) for k, a, b in (s.split(":") for s in spans.split(",") if s) if k == "term"}
+
+
+def test_terms_of_whole_documents(spark):
+    far = "zorro " + "the thing was " * 60 + "1234567890 " * 30 + "me@home.org" + " the thing was" * 20 + " zorro"
+    texts = [far if i in (2, 9) else f"the thing was here {i}" for i in range(40)]
+    got = {r.doc_id: term_places(r.spans) for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: {(0, 5), (len(far) - 5, len(far))} if i in (2, 9) else set() for i in range(40)}
+    assert [got[i] for i in range(40)] == plain_terms(texts)
+
+
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_terms_equal_brute_force(spark, bound):
+    at = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test tables")
+    table = spark.read.parquet(at)
+    texts = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+    got = {r.doc_id: term_places(r.spans) for r in pii.personal_data(table, broadcast_terms=bound).collect()}
+    assert got == dict(zip(texts, plain_terms(list(texts.values())), strict=True)) and any(got.values())
+
+
 def test_packing(spark, docs, empty):
     from tarn.llm.common import keyed
 
