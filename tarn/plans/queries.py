@@ -81,7 +81,7 @@ CASES: dict[str, tuple[str, str]] = {
     "JN-2_left": _as_is("SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "JN-3_theta": _as_is("SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey > r.r_regionkey"),
     "JN-4_hash": _as_is("SELECT COUNT(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey"),
-    "JN-5_int_float": _as_is("SELECT COUNT(*) AS n FROM part p JOIN lineitem l ON p.p_size = l.l_quantity WHERE p.p_partkey < 50"),
+    "JN-5_int_float": _as_is("SELECT COUNT(*) AS n FROM part p JOIN lineitem l ON p.p_size = l.l_quantity"),
     "JN-6_index": _as_is("SELECT c.c_name, o.o_totalprice FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_custkey < 100"),
     "JN-7_self": _as_is("SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
     "JN-8_multi": ("SELECT r.r_name, COUNT(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",) * 2,
