@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tarn.plans.queries import QUERIES
+from tarn.session import Session
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -20,3 +21,13 @@ def test_int_float_join_takes_all_parts(spark):
     sizes, quantities = Counter(column("part", "p_size")), Counter(column("lineitem", "l_quantity"))
     (row,) = QUERIES["JN-5_int_float"](spark, SF).collect()
     assert row.n == sum(n * quantities[size] for size, n in sizes.items() if size is not None)
+
+
+def test_index_join_takes_all_customers(spark, monkeypatch):
+    made, index = [], Session.index
+    monkeypatch.setattr(Session, "index", lambda self, *how: made.append(how) or index(self, *how))
+    names = dict(zip(column("customer", "c_custkey"), column("customer", "c_name"), strict=True))
+    orders = zip(column("orders", "o_custkey"), column("orders", "o_totalprice"), strict=True)
+    got = QUERIES["JN-6_index"](spark, SF).collect()
+    assert Counter(map(tuple, got)) == Counter((names[c], price) for c, price in orders if c in names)
+    assert made == [("orders", "o_custkey", "hash")]
