@@ -106,9 +106,9 @@ CASES: dict[str, tuple[str, str]] = {
     "DST-1_distinct": _as_is("SELECT DISTINCT p_brand, p_size FROM part"),
     "DST-2_distinct_null": _as_is("SELECT DISTINCT l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "ORD-1_order": _as_is("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey"),
-    "ORD-2_position": _as_is("SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY 2 DESC, 1 LIMIT 3"),
-    "ORD-3_alias": _as_is("SELECT p_partkey AS k FROM part ORDER BY k LIMIT 10"),
-    "ORD-5_nulls": ("SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY toxic, doc_id LIMIT 20", "SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY toxic NULLS FIRST, d.doc_id LIMIT 20"),
+    "ORD-2_position": _as_is("SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY 2 DESC, 1"),
+    "ORD-3_alias": _as_is("SELECT p_partkey AS k FROM part ORDER BY k"),
+    "ORD-5_nulls": ("SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY toxic, doc_id", "SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY toxic NULLS FIRST, d.doc_id"),
     "LIM-1_top": _as_is("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     # arithmetic
     "ART-1_add": _as_is("SELECT o_orderkey, o_orderkey + o_custkey AS a, o_totalprice + 1 AS b FROM orders"),

@@ -31,3 +31,12 @@ def test_index_join_takes_all_customers(spark, monkeypatch):
     got = QUERIES["JN-6_index"](spark, SF).collect()
     assert Counter(map(tuple, got)) == Counter((names[c], price) for c, price in orders if c in names)
     assert made == [("orders", "o_custkey", "hash")]
+
+
+def test_sorts_return_all_rows(spark):
+    toxic = dict(zip(column("labels", "doc_id"), column("labels", "toxic"), strict=True))
+    placed = sorted(((i, toxic.get(i)) for i in column("documents", "doc_id")), key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert [tuple(r) for r in QUERIES["ORD-5_nulls"](spark, SF).collect()] == placed and {t for _, t in placed} == {None, 0, 1}
+    assert [r.k for r in QUERIES["ORD-3_alias"](spark, SF).collect()] == sorted(column("part", "p_partkey"))
+    segments = sorted(Counter(column("customer", "c_mktsegment")).items(), key=lambda r: (-r[1], r[0]))
+    assert [tuple(r) for r in QUERIES["ORD-2_position"](spark, SF).collect()] == segments and len(segments) > 3
