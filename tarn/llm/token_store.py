@@ -213,9 +213,11 @@ def _join_crcs(batches):
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start, n_tokens, ids_crc32, all from the files, in no order.
 
-    The CRC of a document is joined from those of its chunks' bytes, so no ids are moved.  Raises where a
-    chunk, a recipe or a root does not fit the index.
+    The CRC of a document is joined from those of its chunks' bytes, so no ids are moved.  Raises where the
+    index does not fit the manifest, or a chunk, a recipe or a root does not fit the index.
     """
+    if not verify_manifest(spark, path):
+        raise ValueError(f"the index differs from the manifest: {path}")
     all_objects = objects(spark, path)
     chunks = all_objects.where("kind = 0").select("key", "n", "data").mapInArrow(_check_chunks, "chunk binary, crc bigint")
     parts = all_objects.where("kind = 1").select("key", "doc_id", "data").mapInArrow(_spread, "key binary, doc_id bigint, place int, chunk binary, size bigint")
@@ -231,8 +233,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def verify_manifest(spark: SparkSession, path: str) -> bool:
     """Whether the manifest's shard roots, counts and sums are those of the index."""
-    stored = spark.read.parquet(f"{path}/manifest").select("shard", "root", "documents", "ids")
-    return _shard_roots(index_of(spark, path)).select("shard", "root", "documents", "ids").exceptAll(stored).isEmpty()
+    columns = ["shard", "root", "documents", "ids"]
+    stored = spark.read.schema("shard int, root string, documents bigint, ids bigint").parquet(f"{path}/manifest")
+    both = _shard_roots(index_of(spark, path)).select(*columns, F.lit(1).alias("side")).unionAll(stored.select(*columns, F.lit(-1).alias("side")))
+    return both.groupBy(*columns).agg(F.sum("side").alias("side")).where("side <> 0").isEmpty()
 
 
 def reconstruct(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:

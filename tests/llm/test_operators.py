@@ -301,6 +301,23 @@ def test_rare_values_have_terms(spark):
     assert spans[3] == "email:27:38,term:10:15,term:22:26" and not any(v for i, v in spans.items() if i != 3)
 
 
+def test_lost_or_changed_index_is_an_error(spark, docs, tmp_path):
+    at = token_store.write_store(docs, str(tmp_path / "store"))
+    index = tmp_path / "store" / "index"
+    assert token_store.read_store(spark, at).count() == len(ROWS)
+    whole = {p: p.read_bytes() for p in index.iterdir() if p.name.endswith(".parquet") or p.name.endswith(".crc")}
+    lost = max((p for p in whole if p.suffix == ".parquet"), key=lambda p: len(whole[p]))
+    lost.unlink()
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_store(spark, at)
+    lost.write_bytes(whole[lost])
+    assert token_store.read_store(spark, at).count() == len(ROWS)
+    twice = index / ("part-more-" + lost.name)
+    twice.write_bytes(whole[lost])
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_store(spark, at)
+
+
 def plain_terms(texts, alpha=0.75):
     """Per text the spans of words whose PMI with a value of that text reaches alpha of its information."""
     words = [[(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", t or "")] for t in texts]
