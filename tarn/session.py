@@ -86,7 +86,7 @@ class Session:
         self.join_mode = mode
 
     def index(self, table: str, column: str, kind: str = "hash") -> None:
-        """Advisory: keeps the table in memory, sorted by the column within partitions for a sorted index."""
+        """Advisory: checks table, column and kind, and notes them in ``indexes``; plans and results stay as they are."""
         if kind.lower() not in INDEX_KINDS:
             raise DialectError(f"unknown index type: {kind}")
         t = self.table(table)

@@ -40,3 +40,13 @@ def test_sorts_return_all_rows(spark):
     assert [r.k for r in QUERIES["ORD-3_alias"](spark, SF).collect()] == sorted(column("part", "p_partkey"))
     segments = sorted(Counter(column("customer", "c_mktsegment")).items(), key=lambda r: (-r[1], r[0]))
     assert [tuple(r) for r in QUERIES["ORD-2_position"](spark, SF).collect()] == segments and len(segments) > 3
+
+
+def test_index_is_noted_and_leaves_the_plan(spark):
+    session = Session(spark)
+    session.load_parquet(f"{SF}/orders.parquet", "orders")
+    frame = session.table("orders").frame
+    session.index("orders", "o_custkey", "SORTED")
+    assert session.indexes == [("orders", "o_custkey", "sorted")]
+    assert session.table("orders").frame is frame and not frame.is_cached
+    assert "keeps the table in memory" not in Session.index.__doc__
