@@ -1,15 +1,20 @@
 """The dialect's semantics as Spark columns.
 
 A ``Value`` is a column with a static kind: INT, FLOAT, STRING, NULL or BOOL (a predicate; an INT 1/0 to the
-outside).  INT values carry a range, so that an operation which cannot leave 64 bits stays ``bigint``, and one
-that can becomes FLOAT.  Predicates over equal kinds stay bare, so Catalyst can push them down and find
-equi-join keys.
+outside); from typed sources also DECIMAL, DATE, TIMESTAMP, TIMESTAMP_NTZ and OTHER, which only passes through.
+
+Kinds never depend on data.  INT values carry the range that their types and literals allow: an operation that
+cannot leave 64 bits is plain, one that must is FLOAT.  One that may is a checked INT, and a row that leaves
+64 bits is an error (``OVERFLOW``); in the wide mode it is FLOAT in all rows.  Predicates over equal kinds stay
+bare, so Catalyst can push them down and find equi-join keys.
 """
 
 from __future__ import annotations
 
 import re
+from contextvars import ContextVar
 from dataclasses import dataclass
+from datetime import date, datetime
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +23,10 @@ from pyspark.sql import functions as F
 from ..sql.errors import BindError
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
+TEMPORAL = ("DATE", "TIMESTAMP", "TIMESTAMP_NTZ")
+OVERFLOW = "INT overflow: a result leaves 64 bits; overflow='float' computes it as FLOAT"
+#: Whether INT operations that may leave 64 bits are FLOAT.
+WIDE: ContextVar[bool] = ContextVar("wide", default=False)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,7 +40,7 @@ class Value:
 
     @property
     def numeric(self) -> bool:
-        return self.kind in ("INT", "FLOAT", "BOOL")
+        return self.kind in ("INT", "FLOAT", "BOOL", "DECIMAL")
 
 
 def literal(value) -> Value:
@@ -64,8 +73,21 @@ def no_nan(col: Column) -> Column:
     return F.when(~F.isnan(col), col)
 
 
+def overflow(present: Column) -> Column:
+    """An error where ``present`` holds, else null."""
+    return F.when(present, F.raise_error(F.lit(OVERFLOW)).cast("bigint"))
+
+
+def known_kind(*values: Value) -> None:
+    """Raise if a value has a kind that nothing computes with."""
+    for v in values:
+        if v.kind == "OTHER" or v.kind in TEMPORAL:
+            raise BindError(f"no operation of this kind on {v.kind}")
+
+
 def truth(v: Value) -> Column:
     """Three-valued truth: numbers by being nonzero, strings are false."""
+    known_kind(v)
     if v.kind == "BOOL":
         return v.col
     if v.kind == "NULL":
@@ -86,15 +108,38 @@ def negate(a: Value) -> Value:
 _COMPARE = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
 
 
-def comparable(a: Value, b: Value) -> bool:
-    return a.numeric and b.numeric or a.kind == b.kind == "STRING"
+def _moment(v: Value, kind: str) -> Value:
+    """A string literal as a value of the temporal kind it is compared with."""
+    try:
+        at = datetime.fromisoformat(v.literal)
+    except ValueError as e:
+        raise BindError(f"not a {kind}: {v.literal!r}") from e
+    if kind == "DATE" and at != datetime.combine(at.date(), datetime.min.time()):
+        kind = "TIMESTAMP_NTZ"
+    return Value(F.lit(date(at.year, at.month, at.day)) if kind == "DATE" else F.lit(v.literal).cast(kind.lower()), kind)
+
+
+def matched(a: Value, b: Value) -> tuple[Column, Column] | None:
+    """The two as columns to compare; None if they never compare (a string with a number, or a bare NULL)."""
+    if "NULL" in (a.kind, b.kind):
+        return None
+    if "OTHER" in (a.kind, b.kind):
+        raise BindError("values of kind OTHER cannot be compared")
+    if a.kind in TEMPORAL or b.kind in TEMPORAL:
+        if a.kind == "STRING" and a.literal is not None:
+            a = _moment(a, b.kind)
+        elif b.kind == "STRING" and b.literal is not None:
+            b = _moment(b, a.kind)
+        if a.kind not in TEMPORAL or b.kind not in TEMPORAL:
+            raise BindError(f"{a.kind} cannot be compared with {b.kind}")
+        return a.col, b.col
+    return (plain(a).col, plain(b).col) if a.numeric and b.numeric or a.kind == b.kind == "STRING" else None
 
 
 def compare(op: str, a: Value, b: Value) -> Value:
     """Unknown for a string against a number: nothing is converted."""
-    if not comparable(a, b):
-        return UNKNOWN()
-    return predicate(_COMPARE[op](plain(a).col, plain(b).col))
+    pair = matched(a, b)
+    return predicate(_COMPARE[op](*pair)) if pair else UNKNOWN()
 
 
 def is_null(a: Value, negated: bool) -> Value:
@@ -103,9 +148,10 @@ def is_null(a: Value, negated: bool) -> Value:
 
 def between(a: Value, low: Value, high: Value, negated: bool) -> Value:
     """Unknown if either comparison is."""
-    if not (comparable(a, low) and comparable(a, high)):
+    least, most = matched(a, low), matched(a, high)
+    if not (least and most):
         return UNKNOWN()
-    x, lo, hi = plain(a).col, plain(low).col, plain(high).col
+    x, lo, hi = least[0], least[1], most[1]
     inside = x.between(lo, hi)
     if low.literal is None or high.literal is None:
         inside = F.when(x.isNotNull() & lo.isNotNull() & hi.isNotNull(), inside)
@@ -116,13 +162,14 @@ def within(a: Value, items: list[Value], negated: bool) -> Value:
     """An item of another kind is no match; a null item makes a miss unknown."""
     if a.kind == "NULL":
         return UNKNOWN()
-    x, same, null = plain(a).col, [plain(i).col for i in items if comparable(a, i)], any(i.kind == "NULL" for i in items)
+    pairs = [matched(a, i) for i in items]
+    x, same, null = plain(a).col, [p[1] for p in pairs if p], any(i.kind == "NULL" for i in items)
     found = x.isin(*same) if same else F.when(x.isNotNull(), F.lit(False))
     if null:
         found = F.when(x.isNotNull(), F.when(found, F.lit(True)))
     elif len(same) < len(items):  # a null among items of another kind still makes a miss unknown
-        for i in items:
-            if not comparable(a, i) and i.literal is None:
+        for i, p in zip(items, pairs, strict=True):
+            if p is None and i.literal is None:
                 found = F.when(found, F.lit(True)).when(i.col.isNotNull(), found)
     return predicate(~found if negated else found)
 
@@ -143,68 +190,115 @@ def like_regex(pattern: str) -> str:
 
 
 def like(a: Value, pattern: Value, negated: bool) -> Value:
+    known_kind(a, pattern)
     if a.kind != "STRING" or pattern.kind != "STRING":
         return UNKNOWN()
     if pattern.literal is not None:
         hit = byte_view(a.col).rlike(like_regex(pattern.literal))
     else:
         body = F.regexp_replace(byte_view(pattern.col), r"([^A-Za-z0-9%_\x80-\xff])", r"\\$1")
-        body = F.replace(F.regexp_replace(body, "%+", ".*"), F.lit("_"), F.lit("."))
-        hit = F.regexp_like(byte_view(a.col), F.concat(F.lit(r"(?is)\A"), body, F.lit(r"\z")))
+        parts = F.split(F.replace(body, F.lit("_"), F.lit(".")), "%+", -1)  # as like_regex does it
+        middle = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda s: F.concat(F.lit("(?>.*?"), s, F.lit(")")))
+        rest = F.when(F.size(parts) > 1, F.concat(F.array_join(middle, ""), F.lit(".*"), F.element_at(parts, -1))).otherwise("")
+        hit = F.regexp_like(byte_view(a.col), F.concat(F.lit(r"(?is)\A"), F.get(parts, F.lit(0)), rest, F.lit(r"\z")))
     return predicate(~hit if negated else hit)
 
 
-def _ranged(low: int, high: int, exact: Column, wide: Column) -> Value:
-    """bigint if the range fits, else double."""
+def _ranged(low: int, high: int, exact: Column, attempt: Column, present: Column, wide: Column) -> Value:
+    """bigint if the range fits, double if it lies outside or in the wide mode, else a checked bigint.
+
+    ``attempt`` is the result, null where it leaves 64 bits though the operands are ``present``.
+    """
     if LOW <= low and high <= HIGH:
         return Value(exact, "INT", low, high)
-    return Value(wide, "FLOAT")
+    if low > HIGH or high < LOW or WIDE.get():
+        return Value(wide, "FLOAT")
+    return Value(F.coalesce(attempt, overflow(present)), "INT", max(low, LOW), min(high, HIGH))
 
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:
+    known_kind(a, b)
     if not (a.numeric and b.numeric):
         return Value(F.lit(None).cast("double"), "FLOAT") if "FLOAT" in (a.kind, b.kind) else Value(F.lit(None).cast("bigint"), "INT", 0, 0)
-    if "FLOAT" in (a.kind, b.kind):
+    if {"FLOAT", "DECIMAL"} & {a.kind, b.kind}:
         x, y = double(a), double(b)
         if op == "/":
             return Value(no_nan(F.when(y != 0, F.try_divide(x, y))), "FLOAT")
         return Value(no_nan(x + y if op == "+" else x - y if op == "-" else x * y), "FLOAT")
     a, b = plain(a), plain(b)
     x, y = a.col, b.col
+    present, dx, dy = x.isNotNull() & y.isNotNull(), x.cast("double"), y.cast("double")
     if op == "/":
-        if b.low <= -1 <= b.high and a.low == LOW:
-            # only the least integer over -1 leaves the range
-            exact = F.when((y != 0) & ~((x == LOW) & (y == -1)), F.call_function("div", x, F.when(y != 0, y)))
-            edge = F.when((x == LOW) & (y == -1), F.lit(float(1 << 63)))
-            return Value(F.coalesce(edge, exact.cast("double")), "FLOAT")
         most = max(abs(a.low), abs(a.high))
-        return Value(F.call_function("div", x, F.when(y != 0, y)), "INT", max(LOW, -most), min(HIGH, most))
+        quotient = F.call_function("div", x, F.when(y != 0, y))
+        if not (b.low <= -1 <= b.high and a.low == LOW):
+            return Value(quotient, "INT", max(LOW, -most), min(HIGH, most))
+        edge = (x == LOW) & (y == -1)  # only the least integer over -1 leaves the range
+        exact = F.when((y != 0) & ~edge, quotient)
+        if WIDE.get() or a.high == LOW and b.low == b.high:
+            return Value(F.coalesce(F.when(edge, F.lit(float(1 << 63))), exact.cast("double")), "FLOAT")
+        return Value(F.coalesce(exact, overflow(edge)), "INT")
     if op == "*":
         ends = [p * q for p in (a.low, a.high) for q in (b.low, b.high)]
-        return _ranged(min(ends), max(ends), x * y, F.coalesce(F.try_multiply(x, y).cast("double"), x.cast("double") * y.cast("double")))
+        tried = F.try_multiply(x, y)
+        return _ranged(min(ends), max(ends), x * y, tried, present, F.coalesce(tried.cast("double"), dx * dy))
     if op == "+":
-        return _ranged(a.low + b.low, a.high + b.high, x + y, F.coalesce(F.try_add(x, y).cast("double"), x.cast("double") + y.cast("double")))
-    return _ranged(a.low - b.high, a.high - b.low, x - y, F.coalesce(F.try_subtract(x, y).cast("double"), x.cast("double") - y.cast("double")))
+        tried = F.try_add(x, y)
+        return _ranged(a.low + b.low, a.high + b.high, x + y, tried, present, F.coalesce(tried.cast("double"), dx + dy))
+    tried = F.try_subtract(x, y)
+    return _ranged(a.low - b.high, a.high - b.low, x - y, tried, present, F.coalesce(tried.cast("double"), dx - dy))
 
 
 def minus(a: Value) -> Value:
-    if a.kind == "FLOAT":
-        return Value(-a.col, "FLOAT", literal=None if a.literal is None else -a.literal)
+    known_kind(a)
+    if a.kind in ("FLOAT", "DECIMAL"):
+        return Value(-a.col, a.kind, literal=None if a.literal is None else -a.literal)
     if a.kind in ("STRING", "NULL"):
         return Value(F.lit(None).cast("bigint"), "INT", 0, 0)
     a = plain(a)
     if a.literal is not None and a.literal != LOW:
         return literal(-a.literal)
-    return _ranged(-a.high, -a.low, -a.col, -a.col.cast("double"))
+    return _ranged(-a.high, -a.low, -a.col, F.try_subtract(F.lit(0).cast("bigint"), a.col), a.col.isNotNull(), -a.col.cast("double"))
 
 
 def absolute(a: Value) -> Value:
-    if a.kind == "FLOAT":
-        return Value(F.abs(a.col), "FLOAT")
+    known_kind(a)
+    if a.kind in ("FLOAT", "DECIMAL"):
+        return Value(F.abs(a.col), a.kind)
     if a.kind in ("STRING", "NULL"):
         return Value(F.lit(None).cast("bigint"), "INT", 0, 0)
     a = plain(a)
-    return _ranged(0 if a.low <= 0 <= a.high else min(abs(a.low), abs(a.high)), max(abs(a.low), abs(a.high)), F.abs(a.col), F.abs(a.col.cast("double")))
+    low = 0 if a.low <= 0 <= a.high else min(abs(a.low), abs(a.high))
+    return _ranged(low, max(abs(a.low), abs(a.high)), F.abs(a.col), F.when(a.col != LOW, F.abs(a.col)), a.col.isNotNull(), F.abs(a.col.cast("double")))
+
+
+def total(ref: Column, low: int, high: int) -> Value:
+    """The exact sum of INT inputs with values from low to high.
+
+    Values are summed in parts of 21 bits, each a bigint that holds 2^42 rows; the parts meet once per group, so
+    only a total that leaves 64 bits itself is an overflow.
+    """
+    bits = max(high.bit_length(), (-1 - low).bit_length())
+    parts, shift = [], 0
+    while bits - shift > 21:
+        parts.append((shift, F.sum(F.shiftright(ref, shift).bitwiseAND(F.lit((1 << 21) - 1)))))
+        shift += 21
+    parts.append((shift, F.sum(F.shiftright(ref, shift))))
+    if len(parts) == 1:
+        return Value(parts[0][1], "INT")
+    exact = None
+    for by, part in reversed(parts):
+        scaled = part.cast("decimal(20,0)") * F.lit(1 << by).cast("decimal(14,0)")
+        exact = scaled if exact is None else exact + scaled
+    return fitted(exact)
+
+
+def fitted(exact: Column) -> Value:
+    """An exact decimal total as INT, or FLOAT in the wide mode."""
+    if WIDE.get():
+        return Value(exact.cast("double"), "FLOAT")
+    inside = exact.between(F.lit(LOW), F.lit(HIGH))
+    return Value(F.when(inside, exact.cast("bigint")).otherwise(overflow(exact.isNotNull())), "INT")
 
 
 def round_exact(d: Column, n: int) -> Column:
@@ -257,6 +351,7 @@ def _round_any(d: Column, n: Column) -> Column:
 
 
 def round_value(a: Value, n: Value | None) -> Value:
+    known_kind(a, *([n] if n is not None else []))
     if not a.numeric or n is not None and n.kind == "NULL":
         return Value(F.lit(None).cast("double"), "FLOAT")
     d = double(a)
@@ -265,7 +360,7 @@ def round_value(a: Value, n: Value | None) -> Value:
         return Value(F.when(digits.isNotNull(), round_exact(d, 0)), "FLOAT")
     if n.literal is not None:
         k = min(30, max(0, int(n.literal)))
-        if a.kind != "FLOAT":
+        if a.kind not in ("FLOAT", "DECIMAL"):
             return Value(d, "FLOAT")
         return Value(round_exact(d, k) if k <= 14 else _round_any(d, F.lit(float(k))), "FLOAT")
     return Value(_round_any(d, double(n)), "FLOAT")
@@ -283,7 +378,9 @@ def length(a: Value) -> Value:
     """Bytes; numbers by their printed form."""
     if a.kind == "NULL":
         return Value(F.lit(None).cast("bigint"), "INT", 0, 0)
-    text = a.col if a.kind == "STRING" else _g_text(a.col) if a.kind == "FLOAT" else plain(a).col.cast("string")
+    text = a.col if a.kind in ("STRING", "OTHER") else _g_text(a.col) if a.kind == "FLOAT" else plain(a).col.cast("string")
+    if a.kind == "OTHER":
+        raise BindError("LENGTH of kind OTHER")
     return Value(F.octet_length(text).cast("bigint"), "INT", 0, 1 << 31)
 
 
@@ -297,8 +394,10 @@ def coalesce(args: list[Value]) -> Value:
     args = [a for a in args if a.kind != "NULL"]
     if kinds == {"INT"}:
         return Value(F.coalesce(*(a.col for a in args)), "INT", min(a.low for a in args), max(a.high for a in args))
-    if kinds == {"STRING"}:
-        return Value(F.coalesce(*(a.col for a in args)), "STRING")
+    if kinds & {"OTHER", *TEMPORAL} and len(kinds) > 1:
+        raise BindError(f"COALESCE mixes {', '.join(sorted(kinds))}")
+    if len(kinds) == 1 and kinds != {"FLOAT"}:
+        return Value(F.coalesce(*(a.col for a in args)), kinds.pop())
     return Value(F.coalesce(*(double(a) for a in args)), "FLOAT")
 
 

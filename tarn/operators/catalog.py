@@ -5,59 +5,44 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_INTEGERS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+_INTEGERS = {T.BooleanType: 1, T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+_OTHERS = {T.StringType: "STRING", T.VarcharType: "STRING", T.CharType: "STRING", T.FloatType: "FLOAT", T.DoubleType: "FLOAT", T.DecimalType: "DECIMAL", T.DateType: "DATE", T.TimestampType: "TIMESTAMP", T.TimestampNTZType: "TIMESTAMP_NTZ"}
 ROW = "__row"  # hidden place of a row in input order
 
 
 def kind_of(data_type: T.DataType) -> str:
-    """INT, FLOAT or STRING; '' for what only passes through."""
-    if type(data_type) in _INTEGERS:
-        return "INT"
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return "FLOAT"
-    return "STRING" if isinstance(data_type, T.StringType) else ""
+    """INT, FLOAT, STRING, DECIMAL, DATE, TIMESTAMP or TIMESTAMP_NTZ; OTHER for what only passes through."""
+    return "INT" if type(data_type) in _INTEGERS else _OTHERS.get(type(data_type), "OTHER")
+
+
+def range_of(data_type: T.DataType) -> tuple[int, int]:
+    """The least and greatest value of an integer type; a boolean is 0 or 1."""
+    bits = _INTEGERS[type(data_type)]
+    return (0, 1) if bits == 1 else (-(1 << bits - 1), (1 << bits - 1) - 1)
 
 
 @dataclass
 class Table:
-    """A DataFrame, its columns' kinds, and on demand the ranges of its INT columns.
-
-    Ranges decide whether an operation can leave 64 bits.  A loader that knows them passes them; else one
-    aggregation over the INT columns finds them when a statement first computes with one that is 64 bits wide.
-    """
+    """A DataFrame and its columns' kinds."""
 
     name: str
     frame: DataFrame
-    ordered: bool = False  # frame has the column ROW
-    stats: dict[str, tuple[int, int]] | None = None
+    ordered: bool = False  # frame has the column ROW, as its last
+    clean: bool = False  # FLOAT columns hold no NaN
     rows: int | None = None
     kinds: dict[str, str] = field(init=False)
 
     def __post_init__(self):
-        self.kinds = {f.name: kind_of(f.dataType) for f in self.frame.schema.fields if f.name != ROW}
+        self.fields = self.frame.schema.fields[: -1 if self.ordered else None]
+        self.kinds = {f.name: kind_of(f.dataType) for f in self.fields}
 
     @property
     def columns(self) -> list[str]:
-        return list(self.kinds)
-
-    def _measure(self) -> None:
-        ints = [c for c, k in self.kinds.items() if k == "INT"]
-        got = self.frame.agg(F.count(F.lit(1)), *(f(F.col(f"`{c}`").cast("bigint")) for c in ints for f in (F.min, F.max))).head()
-        self.rows = got[0]
-        self.stats = {c: (got[1 + 2 * i] or 0, got[2 + 2 * i] or 0) for i, c in enumerate(ints)}
-
-    def range_of(self, column: str) -> tuple[int, int]:
-        bits = _INTEGERS.get(type(self.frame.schema[column].dataType), 64)
-        if bits < 64 and self.stats is None:
-            return -(1 << bits - 1), (1 << bits - 1) - 1
-        if self.stats is None:
-            self._measure()
-        return self.stats[column]
-
-    def row_bound(self) -> int:
+        return [f.name for f in self.fields]
+
+    def row_count(self) -> int:
         if self.rows is None:
-            self._measure()
+            self.rows = self.frame.count()
         return self.rows

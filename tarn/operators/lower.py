@@ -6,7 +6,7 @@ Catalyst does the rest: pushdown, pruning, join order and strategy, partial aggr
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..sql import tree as S
 from ..sql.errors import BindError
-from .catalog import ROW, Table
-
-MOST_ROWS = 1 << 40  # bound on a join's rows when judging whether a SUM can leave 64 bits
+from .catalog import Table, kind_of, range_of
 
 
 @dataclass(frozen=True)
@@ -25,7 +23,13 @@ class Field:
     name: str
     physical: str
     kind: str
-    table: Table
+    low: int = E.LOW
+    high: int = E.HIGH
+    raw: str | None = None  # the column as stored, where NaN is not yet null
+
+    @property
+    def value(self) -> E.Value:
+        return E.Value(F.col(self.physical), self.kind, self.low, self.high)
 
 
 class Scope:
@@ -53,7 +57,6 @@ class Output:
 class Lowering:
     def __init__(self, tables: dict[str, Table], join_mode: str = "auto"):
         self.tables, self.join_mode, self.refs, self.notes = tables, join_mode, 0, []
-        self.row_bound = 1
 
     # sources
 
@@ -62,12 +65,25 @@ class Lowering:
             raise BindError(f"no such table: {ref.name}")
         table, k = self.tables[ref.name], self.refs
         self.refs += 1
-        fields = [Field(ref.qualifier, c, f"t{k}_{i}", kind, table) for i, (c, kind) in enumerate(table.kinds.items())]
-        cols = [F.col(f"`{f.name}`").cast({"INT": "bigint", "FLOAT": "double"}[f.kind]).alias(f.physical) if f.kind in ("INT", "FLOAT") else F.col(f"`{f.name}`").alias(f.physical) for f in fields]
+        fields, cols = [], []
+        for i, f in enumerate(table.fields):
+            physical, kind = f"t{k}_{i}", kind_of(f.dataType)
+            low, high = range_of(f.dataType) if kind == "INT" else (E.LOW, E.HIGH)
+            raw = f"{physical}_raw" if kind == "FLOAT" and not table.clean else None
+            fields.append(Field(ref.qualifier, f.name, physical, kind, low, high, raw))
+            col = F.col(physical)
+            if kind == "INT":
+                col = col.cast("int").cast("bigint") if f.dataType.typeName() == "boolean" else col.cast("bigint")
+            elif kind == "FLOAT":
+                col = col.cast("double")
+                if raw:
+                    cols.append(col.alias(raw))
+                    col = E.no_nan(col)
+            cols.append(col.alias(physical))
         row = f"t{k}_row"
         if need_rows:
-            cols.append((F.col(ROW) if table.ordered else F.monotonically_increasing_id()).alias(row))
-        return table.frame.select(*cols), fields, row
+            cols.append((F.col(row) if table.ordered else F.monotonically_increasing_id()).alias(row))
+        return table.frame.toDF(*(f.physical for f in fields), *([row] if table.ordered else [])).select(*cols), fields, row
 
     def join(self, left: DataFrame, right: DataFrame, j: S.Join, scope: Scope) -> DataFrame:
         on = E.truth(self.value(j.on, scope))
@@ -90,10 +106,7 @@ class Lowering:
             case S.Literal():
                 return E.literal(e.value)
             case S.Column():
-                f = scope.find(e)
-                if not f.kind:
-                    return E.Value(F.col(f.physical), "OTHER")
-                return _Ranged(f) if f.kind == "INT" else E.Value(F.col(f.physical), f.kind)
+                return scope.find(e).value
             case S.Aggregate():
                 raise BindError(f"aggregate not allowed here: {e}")
             case S.Binary(op=op):
@@ -115,49 +128,64 @@ class Lowering:
                 return E.call(e.name, [go(a) for a in e.args])
         raise BindError(f"cannot evaluate {e}")
 
+    def pushable(self, e: S.Node, scope: Scope):
+        """Of the conditions in a WHERE, those between stored FLOAT columns and literals, on the bare columns.
+
+        They follow from the WHERE, change no result, and are what can reach a scan.
+        """
+        if isinstance(e, S.Binary) and e.op == "and":
+            yield from self.pushable(e.left, scope)
+            yield from self.pushable(e.right, scope)
+        sides = [e.left, e.right] if isinstance(e, S.Binary) and e.op in E._COMPARE else [e.of, e.low, e.high] if isinstance(e, S.Between) and not e.negated else []
+        fields = [scope.find(x) for x in sides if isinstance(x, S.Column)]
+        values = [self.value(x, scope) for x in sides if not isinstance(x, S.Column)]
+        if len(fields) == 1 and fields[0].raw and all(v.literal is not None and v.numeric for v in values):
+            bare = [E.Value(F.col(fields[0].raw), "FLOAT") if isinstance(x, S.Column) else self.value(x, scope) for x in sides]
+            yield (E.compare(e.op, *bare) if isinstance(e, S.Binary) else E.between(*bare, False)).col
+
     # aggregation
 
-    def aggregate(self, a: S.Aggregate, scope: Scope, inputs: dict[str, Column], name: str) -> tuple[Column, str, int, int]:
-        """(aggregate column over ``inputs``, kind, low, high)."""
+    def aggregate(self, a: S.Aggregate, scope: Scope, inputs: dict[str, Column], name: str) -> E.Value:
+        """The aggregate over ``inputs``, to which its own input is added under ``name``."""
         if a.of is None:
             if a.name != "count":
                 raise BindError(f"{a.name.upper()}(*) has no meaning")
-            return F.count(F.lit(1)), "INT", 0, E.HIGH
+            return E.Value(F.count(F.lit(1)), "INT", 0, E.HIGH)
         if any(isinstance(x, S.Aggregate) for x in S.walk(a.of)):
             raise BindError(f"nested aggregate: {a}")
         v = E.plain(self.value(a.of, scope))
-        if v.kind == "STRING" and a.name in ("sum", "avg"):
-            raise BindError(f"{a.name.upper()} of a string")
+        if v.kind not in ("INT", "FLOAT", "DECIMAL", "NULL") and a.name in ("sum", "avg"):
+            raise BindError(f"{a.name.upper()} of a {v.kind.lower()}")
+        if v.kind == "OTHER" and a.name != "count":
+            raise BindError(f"{a.name.upper()} of kind OTHER")
         if v.kind == "NULL" and a.name in ("sum", "avg"):
             v = E.Value(v.col.cast("bigint"), "INT", 0, 0)
-        wide = a.name == "sum" and v.kind == "INT" and max(abs(v.low), abs(v.high)) * min(MOST_ROWS, self.row_bound) > E.HIGH
-        col = v.col.cast("decimal(38,0)") if wide else E.double(v) if a.name == "avg" else v.col
-        inputs[name] = col
+        inputs[name] = E.double(v) if a.name == "avg" else v.col
         ref = F.col(name)
         if a.name == "count":
-            return F.count_distinct(ref) if a.distinct else F.count(ref), "INT", 0, E.HIGH
+            return E.Value(F.count_distinct(ref) if a.distinct else F.count(ref), "INT", 0, E.HIGH)
         if a.name in ("min", "max"):
-            return (F.min if a.name == "min" else F.max)(ref), v.kind, v.low, v.high
+            return E.Value((F.min if a.name == "min" else F.max)(ref), v.kind, v.low, v.high)
         total = F.expr(f"{a.name}({'DISTINCT ' if a.distinct else ''}{name})")
         if a.name == "avg" or v.kind == "FLOAT":
-            return E.no_nan(total), "FLOAT", E.LOW, E.HIGH
-        if wide:
-            return total.cast("double"), "FLOAT", E.LOW, E.HIGH
-        most = min(E.HIGH, max(abs(v.low), abs(v.high)) * min(MOST_ROWS, self.row_bound))
-        return total, "INT", -most, most
+            return E.Value(E.no_nan(total), "FLOAT")
+        if v.kind == "DECIMAL":
+            return E.Value(total, "DECIMAL")
+        if not a.distinct:
+            return E.total(ref, v.low, v.high)
+        inputs[name] = v.col.cast("decimal(28,0)")
+        return E.fitted(total)
 
     def grouped(self, s: S.Select, frame: DataFrame, scope: Scope, items: list[S.Item], row: Column | None) -> tuple[DataFrame, dict[S.Node, E.Value], str | None]:
         wanted = [i.expr for i in items] + ([s.having] if s.having is not None else [])
         aggregates = list(dict.fromkeys(x for e in wanted for x in S.walk(e) if isinstance(x, S.Aggregate)))
         keys = [scope.find(c) for c in s.group]
         bare = list(dict.fromkeys(x for e in wanted for x in self.outside(e) if isinstance(x, S.Column) and scope.find(x) not in keys))
-        if any(x.of is not None and x.name == "sum" for x in aggregates):
-            self.row_bound = min(MOST_ROWS, self.rows(scope))
         inputs: dict[str, Column] = {}
         made, known, columns = {}, {}, []
         for k, a in enumerate(aggregates):
             made[a] = self.aggregate(a, scope, inputs, f"in{k}")
-            columns.append(made[a][0].alias(f"agg{k}"))
+            columns.append(made[a].col.alias(f"agg{k}"))
         picked = [scope.find(c) for c in bare]
         if picked:
             columns.append(F.min_by(F.struct(*(F.col(f.physical) for f in picked)), F.col("row_id")).alias("first"))
@@ -171,9 +199,9 @@ class Lowering:
         else:
             out = frame.agg(*columns)
         for k, a in enumerate(aggregates):
-            known[a] = E.Value(F.col(f"agg{k}"), *made[a][1:])
+            known[a] = replace(made[a], col=F.col(f"agg{k}"))
         for c, f in zip(bare, picked, strict=True):
-            known[c] = E.Value(F.col(f"first.{f.physical}"), f.kind or "OTHER")
+            known[c] = replace(f.value, col=F.col(f"first.{f.physical}"))
         return out, known, "first_row" if row is not None else None
 
     def outside(self, e: S.Node):
@@ -183,12 +211,6 @@ class Lowering:
             for c in S.children(e):
                 yield from self.outside(c)
 
-    def rows(self, scope: Scope) -> int:
-        total = 1
-        for t in {f.qualifier: f.table for f in scope.fields}.values():
-            total *= max(1, t.row_bound())
-        return total
-
     # the statement
 
     def select(self, s: S.Select) -> tuple[DataFrame, list[Output]]:
@@ -202,7 +224,8 @@ class Lowering:
     def _select(self, s: S.Select) -> tuple[DataFrame, list[Output]]:
         has_aggregates = any(isinstance(x, S.Aggregate) for i in s.items if i.expr for x in S.walk(i.expr))
         grouping = bool(s.group) or has_aggregates
-        unsorted_limit = s.limit is not None and not s.order
+        # Rows come in input order.  A limit on one table alone takes the first partitions' rows and reads no more.
+        unsorted_limit = s.limit is not None and not s.order and bool(grouping or s.joins or s.distinct)
         qualifiers = [s.table.qualifier, *(j.table.qualifier for j in s.joins)]
         may_be_bare = grouping and (any(i.expr is None for i in s.items) or any(isinstance(x, S.Column) and (x not in s.group) for i in s.items if i.expr for x in self.outside(i.expr)) or s.having is not None and any(isinstance(x, S.Column) and x not in s.group for x in self.outside(s.having)))
         need_rows = unsorted_limit or may_be_bare
@@ -218,6 +241,8 @@ class Lowering:
         scope, place = Scope(fields), F.struct(*rows) if need_rows else None
         if s.where is not None:
             frame = frame.filter(E.truth(self.value(s.where, scope)))
+            for bare in self.pushable(s.where, scope):
+                frame = frame.filter(bare)
         for c in s.group:
             scope.find(c)
         items: list[S.Item] = []
@@ -277,19 +302,3 @@ class Lowering:
             scope.find(k.key)
             raise BindError(f"ORDER BY {k.key}: not a selected column")
         return hits[0], k.descending
-
-
-class _Ranged(E.Value):
-    """An INT column whose range is looked up only when something computes with it."""
-
-    def __init__(self, f: Field):
-        object.__setattr__(self, "field", f)
-        object.__setattr__(self, "col", F.col(f.physical))
-        object.__setattr__(self, "kind", "INT")
-        object.__setattr__(self, "literal", None)
-
-    def __getattribute__(self, name):
-        if name in ("low", "high"):
-            f = object.__getattribute__(self, "field")
-            return f.table.range_of(f.name)[name == "high"]
-        return object.__getattribute__(self, name)

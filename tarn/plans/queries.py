@@ -12,13 +12,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Session
+from ..shared import scratch
 from ..sql.parser import parse
 from ..sql.tree import Select
 
 FLAGSHIP = "SELECT n.n_name, COUNT(*) AS cnt, SUM(o.o_totalprice) AS total FROM nation n JOIN customer c ON n.n_nationkey = c.c_nationkey JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY n.n_name ORDER BY n_name"
 
 
-def run(spark: SparkSession, sf_dir: str, statement: str, mode: str = "auto", index: tuple[str, ...] = ()) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, statement: str, mode: str = "auto", index: tuple[str, ...] = (), overflow: str = "error") -> DataFrame:
     session = Session(spark)
     tree: Select = parse(statement)
     for name in {tree.table.name, *(j.table.name for j in tree.joins)}:
@@ -26,7 +27,7 @@ def run(spark: SparkSession, sf_dir: str, statement: str, mode: str = "auto", in
     session.set_join_mode(mode)
     if index:
         session.index(*index)
-    return session.sql(statement)
+    return session.sql(statement, overflow)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,7 @@ CASES: dict[str, tuple[str, str]] = {
     "CMP-5_le": _as_is("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount <= 0.02"),
     "CMP-6_ge": _as_is("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax >= 0.07"),
     "CMP-7_kinds": ("SELECT COUNT(*) AS n FROM orders WHERE o_orderstatus = 1", "SELECT CAST(0 AS BIGINT) AS n"),
+    "CMP-9_date_join": _as_is("SELECT o.o_orderkey, COUNT(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND o.o_orderdate < l.l_shipdate WHERE o.o_orderdate >= '1995-06-01' AND l.l_shipdate BETWEEN '1995-06-01' AND '1998-01-01' GROUP BY o.o_orderkey"),
     "CMP-8_projected": ("SELECT o_orderkey, o_totalprice > 100000 AS big, (o_orderstatus = 'F') + 1 AS f FROM orders", "SELECT o_orderkey, CAST(o_totalprice > 100000 AS BIGINT) AS big, CAST(o_orderstatus = 'F' AS BIGINT) + 1 AS f FROM orders"),
     "LOG-1_and": _as_is("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000"),
     "LOG-2_or": _as_is("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR o_totalprice > 300000"),
@@ -71,7 +73,7 @@ CASES: dict[str, tuple[str, str]] = {
     "BTW-1_between": _as_is("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20"),
     "BTW-2_not_between": _as_is("SELECT p_partkey FROM part WHERE p_retailprice NOT BETWEEN 1000 AND 1500"),
     "BTW-3_null": ("SELECT COUNT(*) AS n FROM part WHERE p_size NOT BETWEEN 60 AND NULL", "SELECT CAST(0 AS BIGINT) AS n"),
-    "LIK-1_prefix": ("SELECT p_partkey FROM part WHERE p_name LIKE 'P%'", "SELECT p_partkey FROM part WHERE p_name ILIKE 'P%'"),
+    "LIK-1_prefix": ("SELECT p_partkey FROM part WHERE p_type LIKE 'p%'", "SELECT p_partkey FROM part WHERE p_type ILIKE 'p%'"),
     "LIK-2_infix": ("SELECT c_custkey FROM customer WHERE c_mktsegment LIKE '%uil%'", "SELECT c_custkey FROM customer WHERE c_mktsegment ILIKE '%uil%'"),
     "LIK-3_suffix": ("SELECT c_custkey FROM customer WHERE c_name LIKE '%7'", "SELECT c_custkey FROM customer WHERE c_name ILIKE '%7'"),
     "LIK-4_underscore": ("SELECT p_partkey FROM part WHERE p_brand LIKE 'brand#_3'", "SELECT p_partkey FROM part WHERE p_brand ILIKE 'brand#_3'"),
@@ -124,6 +126,7 @@ CASES: dict[str, tuple[str, str]] = {
     "FN-3_length": ("SELECT doc_id, LENGTH(text) AS n, LENGTH(n_chars) AS m FROM documents", "SELECT doc_id, strlen(text) AS n, strlen(CAST(n_chars AS VARCHAR)) AS m FROM documents"),
     "FN-4_abs": _as_is("SELECT c_custkey, ABS(c_acctbal) AS a, ABS(c_custkey - 700) AS b FROM customer"),
     "FN-5_round": ("SELECT p_partkey, ROUND(p_size) AS a, ROUND(p_size * 0.25) AS b FROM part", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, round(p_size * CAST(0.25 AS DOUBLE)) AS b FROM part"),
+    "FN-5_digits": ("SELECT o_orderkey, ROUND(o_totalprice / 7 + 0.000012345, 1) AS a, ROUND(o_totalprice / 7 + 0.000012345, 3) AS b FROM orders", "SELECT o_orderkey, round(o_totalprice / 7 + CAST(0.000012345 AS DOUBLE), 1) AS a, round(o_totalprice / 7 + CAST(0.000012345 AS DOUBLE), 3) AS b FROM orders"),
     "FN-6_coalesce": ("SELECT d.doc_id, COALESCE(l.toxic, -1) AS a, COALESCE(NULL, l.quality, 0.5) AS b FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "SELECT d.doc_id, COALESCE(l.toxic, -1) AS a, COALESCE(CAST(l.quality AS DOUBLE), 0.5) AS b FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "FN-7_trim": ("SELECT n_nationkey, TRIM('  x y ') AS a, TRIM(n_name) AS b FROM nation", "SELECT n_nationkey, 'x y' AS a, trim(n_name) AS b FROM nation"),
     "FN-8_nested": ("SELECT c_custkey, LENGTH(UPPER(TRIM(c_name))) AS a, ABS(ROUND(c_acctbal)) AS b FROM customer", "SELECT c_custkey, strlen(upper(trim(c_name))) AS a, abs(round(c_acctbal)) AS b FROM customer"),
@@ -134,17 +137,35 @@ CASES: dict[str, tuple[str, str]] = {
 }
 
 
-def first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A column that is no key takes the value of the group's first row; the input order is that of the key."""
-    session = Session(spark)
-    session.register("orders", spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy("o_orderkey"))
-    return session.sql("SELECT o_custkey, o_orderkey, o_totalprice, COUNT(*) AS n FROM orders GROUP BY o_custkey")
+def over(spark: SparkSession, sf_dir: str, table: str, columns: tuple[str, ...], statement: str, order: str | None = None, overflow: str = "error") -> DataFrame:
+    """A statement over ``t``: columns of a table, made by Spark SQL before the dialect sees them."""
+    frame, session = spark.read.parquet(f"{sf_dir}/{table}.parquet"), Session(spark)
+    session.register("t", (frame.orderBy(order) if order else frame).selectExpr(*columns))
+    return session.sql(statement, overflow)
 
 
-def unsorted_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    session = Session(spark)
-    session.register("orders", spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy("o_orderkey"))
-    return session.sql("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000 LIMIT 25")
+def csv_text(spark: SparkSession, sf_dir: str, text: str, statement: str) -> DataFrame:
+    """A statement over ``t``, loaded from a CSV file that holds ``text``."""
+    path, session = scratch(spark, "text"), Session(spark)
+    spark.createDataFrame([(text.removesuffix("\n"),)], "value string").coalesce(1).write.text(path)
+    session.load_csv(path, "t")
+    return session.sql(statement)
+
+
+def csv_tables(spark: SparkSession, sf_dir: str, columns: dict[str, tuple[str, ...]]) -> Session:
+    """A session whose tables were written as CSV (the header in a file of its own) and loaded from there."""
+    path, session = scratch(spark, "csv"), Session(spark)
+    session.csv = {name: f"{path}/{name}/*" for name in columns}
+    for name, some in columns.items():
+        text = ["CAST({0} AS string) AS {0}".format(c) for c in some]
+        spark.createDataFrame([(",".join(some),)], "value string").coalesce(1).write.text(f"{path}/{name}/0-head")
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").selectExpr(*text).write.option("emptyValue", "").option("escape", '"').csv(f"{path}/{name}/1-rows")
+        session.load_csv(session.csv[name], name)
+    return session
+
+
+def from_csv(spark: SparkSession, sf_dir: str, columns: dict[str, tuple[str, ...]], statement: str) -> DataFrame:
+    return csv_tables(spark, sf_dir, columns).sql(statement)
 
 
 def _case(statement: str, **how) -> Callable[[SparkSession, str], DataFrame]:
@@ -166,7 +187,46 @@ for _kind in ("hash", "sorted"):
     QUERIES[f"CMD-8_index_{_kind}"] = _case(CASES["SRC-11_index_scan"][0], index=("orders", "o_custkey", _kind))
     SQL[f"CMD-8_index_{_kind}"] = CASES["SRC-11_index_scan"][1]
 QUERIES["JN-6_index"] = _case(CASES["JN-6_index"][0], index=("orders", "o_custkey", "hash"))
-QUERIES["AGG-13_first_row"] = first_row
+QUERIES["ART-6_overflow"] = _case(CASES["ART-6_overflow"][0], overflow="float")
+
+# A column that is no key takes the value of the group's first row, and a limit the first rows; the input order is that of the key.
+QUERIES["AGG-13_first_row"] = partial(over, table="orders", columns=("*",), order="o_orderkey", statement="SELECT o_custkey, o_orderkey, o_totalprice, COUNT(*) AS n FROM t GROUP BY o_custkey")
 SQL["AGG-13_first_row"] = "SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice, count(*) AS n FROM orders GROUP BY o_custkey"
-QUERIES["LIM-2_unsorted"] = unsorted_limit
+QUERIES["LIM-2_unsorted"] = partial(over, table="orders", columns=("*",), order="o_orderkey", statement="SELECT o_orderkey, o_custkey FROM t WHERE o_totalprice > 100000 LIMIT 25")
 SQL["LIM-2_unsorted"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000 ORDER BY o_orderkey LIMIT 25"
+
+# Sums above 2^53 stay exact; a total that leaves 64 bits is FLOAT where that is asked for.
+_BIG = "CASE WHEN o_orderkey % 997 = 1 THEN 9007199254740993 ELSE o_orderkey END"
+QUERIES["AGG-6_sum_exact"] = partial(over, table="orders", columns=("o_orderpriority AS p", f"{_BIG} AS v"), statement="SELECT p, SUM(v) AS s, SUM(DISTINCT v) AS d FROM t GROUP BY p")
+SQL["AGG-6_sum_exact"] = f"SELECT o_orderpriority AS p, CAST(sum({_BIG}) AS BIGINT) AS s, CAST(sum(DISTINCT {_BIG}) AS BIGINT) AS d FROM orders GROUP BY o_orderpriority"
+QUERIES["AGG-6_sum_overflow"] = _case("SELECT SUM(n_nationkey * 0 + 4611686018427387904) AS s FROM nation", overflow="float")
+SQL["AGG-6_sum_overflow"] = "SELECT count(*) * CAST(4611686018427387904 AS DOUBLE) AS s FROM nation"
+
+# Kinds of typed sources; NaN is null.
+QUERIES["CMP-10_decimal"] = partial(over, table="orders", columns=("o_orderkey", "o_orderstatus AS st", "CAST(o_totalprice AS decimal(12,2)) AS v"), statement="SELECT st, COUNT(*) AS n, ROUND(SUM(v), 2) AS s, ROUND(MAX(v), 2) AS hi FROM t WHERE v > 100000.5 AND v <> 150000 GROUP BY st")
+SQL["CMP-10_decimal"] = "SELECT o_orderstatus AS st, count(*) AS n, round(CAST(sum(v) AS DOUBLE), 2) AS s, CAST(max(v) AS DOUBLE) AS hi FROM (SELECT *, CAST(o_totalprice AS DECIMAL(12,2)) AS v FROM orders) WHERE v > 100000.5 AND v <> 150000 GROUP BY o_orderstatus"
+QUERIES["CMP-11_boolean"] = partial(over, table="part", columns=("p_partkey", "p_size > 20 AS big"), statement="SELECT p_partkey, big FROM t WHERE big OR p_partkey < 50")
+SQL["CMP-11_boolean"] = "SELECT p_partkey, CAST(p_size > 20 AS BIGINT) AS big FROM part WHERE p_size > 20 OR p_partkey < 50"
+QUERIES["SRC-6_nan"] = partial(over, table="part", columns=("p_brand", "CASE WHEN p_size % 5 = 0 THEN double('NaN') ELSE p_retailprice END AS x"), statement="SELECT p_brand, COUNT(*) AS n, COUNT(x) AS k, MAX(x) AS hi, SUM(x IS NULL) AS none, SUM(x = x) AS own, SUM(x > 1200) AS dear FROM t GROUP BY p_brand")
+SQL["SRC-6_nan"] = "SELECT p_brand, count(*) AS n, count(x) AS k, max(x) AS hi, CAST(sum(CAST(x IS NULL AS INT)) AS BIGINT) AS none, CAST(sum(CAST(x = x AS INT)) AS BIGINT) AS own, CAST(sum(CAST(x > 1200 AS INT)) AS BIGINT) AS dear FROM (SELECT p_brand, CASE WHEN p_size % 5 <> 0 THEN p_retailprice END AS x FROM part) GROUP BY p_brand"
+QUERIES["LIK-6_column"] = partial(over, table="part", columns=("p_partkey", "p_type", "concat(substr(p_type, 1, 2), '%', substr(p_brand, -1), '%_') AS pattern"), statement="SELECT p_partkey, p_type LIKE pattern AS a, pattern LIKE '%!_%' AS b, p_type NOT LIKE p_type AS c FROM t")
+SQL["LIK-6_column"] = "SELECT p_partkey, CAST(p_type ILIKE concat(substr(p_type, 1, 2), '%', substr(p_brand, -1), '%_') AS BIGINT) AS a, CAST(concat(substr(p_type, 1, 2), '%', substr(p_brand, -1), '%_') ILIKE '%!_%' AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM part"
+
+# CSV: whole tables written as text and loaded again, and small files with the odd cells.
+_ORDERS, _CUSTOMER = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+QUERIES["SRC-1_csv_lines"] = partial(from_csv, columns={"orders": _ORDERS}, statement="SELECT * FROM orders")
+SQL["SRC-1_csv_lines"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders"
+CSV_JOIN = "SELECT c_mktsegment, COUNT(*) AS n, SUM(o_custkey) AS k, ROUND(MAX(o_totalprice), 2) AS hi FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderdate >= '1994' GROUP BY c_mktsegment"
+QUERIES["SRC-4_csv_join"] = partial(from_csv, columns={"orders": _ORDERS, "customer": _CUSTOMER}, statement=CSV_JOIN)
+SQL["SRC-4_csv_join"] = "SELECT c_mktsegment, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS k, max(o_totalprice) AS hi FROM customer JOIN orders ON c_custkey = o_custkey WHERE CAST(o_orderdate AS VARCHAR) >= '1994' GROUP BY c_mktsegment"
+_TEXTS = {
+    "SRC-2_csv_quotes": ('id,name,note\n1,"Lee, Ann",plain\n2,"say ""hi""",\n3,"abc"def,x"y\n4,"open,end\n', "(1, 'Lee, Ann', 'plain'), (2, 'say \"hi\"', NULL), (3, 'abc', 'x\"y'), (4, 'open,end', NULL)", "id, name, note"),
+    "SRC-3_csv_no_line_break": ('id,s\n1,"a\nb",2\n', "('1', 'a'), ('b\"', '2')", "id, s"),
+    "SRC-5_csv_kinds": ("i,f,s,w,none\n 42,1e5,0x1A,99999999999999999999,\n+5,2,1.5,1,\n", "(42, CAST(1e5 AS DOUBLE), '0x1A', CAST(1e20 AS DOUBLE), CAST(NULL AS VARCHAR)), (5, CAST(2 AS DOUBLE), '1.5', CAST(1 AS DOUBLE), NULL)", "i, f, s, w, none"),
+    "SRC-6_csv_cells": ("x,s\n5,a\nnan,\n-2.5,inf\n", "(CAST(5 AS DOUBLE), 'a'), (NULL, NULL), (-2.5, 'inf')", "x, s"),
+    "SRC-7_csv_ragged": ("a,b\n1,2,3\n4\n", "(1, 2), (4, NULL)", "a, b"),
+    "SRC-8_csv_blank": ("a,b\r\n1,x\r\n\r\n2,y\r\n", "(1, 'x'), (NULL, NULL), (2, 'y')", "a, b"),
+}
+for _name, (_text, _values, _columns) in _TEXTS.items():
+    QUERIES[_name] = partial(csv_text, text=_text, statement=f"SELECT {_columns} FROM t")
+    SQL[_name] = f"SELECT * FROM (VALUES {_values}) AS t({_columns})"

@@ -6,8 +6,10 @@ import contextlib
 import io
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.exprs import OVERFLOW, WIDE
 from .operators.catalog import ROW, Table
 from .operators.lower import Lowering, Output
 from .render import grid
@@ -24,7 +26,6 @@ class Session:
         self.spark, self.catalog = spark, {}
         self.join_mode, self.auto_index, self.timer = "auto", False, False
         self.indexes: list[tuple[str, str, str]] = []
-        spark.conf.set("spark.sql.caseSensitive", "true")
 
     # tables
 
@@ -44,29 +45,47 @@ class Session:
         return self.catalog[name]
 
     def tables(self) -> list[tuple[str, int]]:
-        return [(n, t.row_bound()) for n, t in self.catalog.items()]
+        return [(n, t.row_count()) for n, t in self.catalog.items()]
 
     def schema(self, name: str) -> list[tuple[str, str]]:
-        return [(c, k or "OTHER") for c, k in self.table(name).kinds.items()]
+        return [(c, k) for c, k in self.table(name).kinds.items()]
 
     def dump(self, name: str) -> str:
         t = self.table(name)
         frame = t.frame.orderBy(ROW).drop(ROW) if t.ordered else t.frame
-        return grid(t.columns, [k or "OTHER" for k in t.kinds.values()], frame.collect())
+        return grid(t.columns, [k for k in t.kinds.values()], frame.collect())
 
     # statements
 
-    def _lowered(self, text: str) -> tuple[DataFrame, list[Output], Lowering]:
-        lowering = Lowering(self.catalog, self.join_mode)
-        frame, outputs = lowering.select(parse(text))
+    def _lowered(self, text: str, wide: bool = False) -> tuple[DataFrame, list[Output], Lowering]:
+        lowering, before = Lowering(self.catalog, self.join_mode), WIDE.set(wide)
+        try:
+            frame, outputs = lowering.select(parse(text))
+        finally:
+            WIDE.reset(before)
         return frame, outputs, lowering
 
-    def sql(self, text: str) -> DataFrame:
-        return self._lowered(text)[0]
+    def sql(self, text: str, overflow: str = "error") -> DataFrame:
+        """The statement as a DataFrame; no job is started, and its types depend on kinds alone.
+
+        A row whose INT arithmetic or SUM leaves 64 bits is an error when the DataFrame runs.  With
+        ``overflow="float"`` all INT operations that may leave 64 bits are FLOAT, exact up to 2^53.
+        """
+        if overflow not in ("error", "float"):
+            raise DialectError(f"unknown overflow mode: {overflow}")
+        return self._lowered(text, overflow == "float")[0]
 
     def show(self, text: str) -> str:
+        """The result as a grid; a statement that leaves 64 bits is run again with FLOAT in its place."""
         frame, outputs, _ = self._lowered(text)
-        return grid([o.name for o in outputs], [o.value.kind for o in outputs], frame.collect())
+        try:
+            rows = frame.collect()
+        except PySparkException as e:
+            if OVERFLOW not in str(e):
+                raise
+            frame, outputs, _ = self._lowered(text, wide=True)
+            rows = frame.collect()
+        return grid([o.name for o in outputs], [o.value.kind for o in outputs], rows)
 
     def ast(self, text: str) -> str:
         return str(parse(text))
