@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
-import os
-import re
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
@@ -15,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import remove, saved, scratch, shared_folder  # noqa: F401
+
 #: Word rules.  Both work on UTF-8 bytes, where every byte of a non-ASCII code point is >= 0x80.
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 ALNUM_TABLE = bytes(b if b in _KEEP else (b + 32 if 0x41 <= b <= 0x5A else 0x20) for b in range(256))
@@ -30,35 +29,6 @@ def space_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), f"tarn-{os.getpid()}")
-        os.makedirs(at[7:], exist_ok=True)
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    at = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub(r"^file:/+", "file:///", at).rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, path: str, **options: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI; a plain path is local."""
     import pyarrow.fs as pafs
@@ -66,23 +36,76 @@ def file_system(uri: str):
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def named(c: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def text_or_empty(c: str = "text") -> Column:
-    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.coalesce(named(c).cast("string"), F.lit(""))
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores at its end as no column of ``taken`` has (in any case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the columns c0, c1, ...: no name of theirs can be mistaken for one of ours, or hold a dot."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def _file_rows(df: DataFrame) -> bool:
+    """Whether df is rows of files, each once: a scan below deterministic selections and filters alone."""
+    if "_metadata" in (c.lower() for c in df.columns):
+        return False
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or "HadoopFsRelation" not in plan.relation().getClass().getName():
+        return False
+    roots = plan.relation().location().rootPaths()
+    return len({roots.apply(i).toString() for i in range(roots.size())}) == roots.size()
+
+
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """df with a unique struct<f: long, i: long> per row that is the same each time the rows are read.
+
+    Rows of a file have the hash of the file's path and their place in it.  Any other DataFrame (made rows,
+    exploded or joined ones, a file read twice) is written once with generated ids: those depend on how the rows
+    are dealt, so they hold only for the written copy.  ``name`` must not be a column of df (see ``fresh``).
+    """
+    if _file_rows(df):
+        with contextlib.suppress(AnalysisException):  # a format without row places
+            return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias(name))
+    made = F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))
+    return saved(df.withColumn(name, made), scratch(df.sparkSession, "keyed"))
+
+
+def rows_of(docs: DataFrame, key: str | None, **columns: str) -> DataFrame:
+    """Columns of docs under other names, and ``f`` and ``i``: the parts of the key column, or of a key made here."""
+    picked = docs.select(*(named(c).alias(n) for n, c in columns.items()), *([named(key).alias("key")] if key else []))
+    return (picked if key else keyed(picked, "key")).select(*columns, F.col("key.f").alias("f"), F.col("key.i").alias("i"))
 
 
-def keyed(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """df with a unique struct per row that is the same each time the rows are read.
+def without(docs: DataFrame, gone_of, **columns: str) -> DataFrame:
+    """docs without some rows, each found by its key whatever its columns are.
 
-    A table that is read from files has the hash of its file's path and the row's place there.  Any other
-    DataFrame is written once with generated ids: those depend on how the rows are dealt, so they hold only
-    for the written copy.
+    ``gone_of(small, key)`` gets the given columns under the given names, and the name of their key; it returns
+    the keys (f, i) of the rows that go.
     """
-    try:
-        place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
-        return df.select("*", place.alias(name))
-    except AnalysisException:
-        made = F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))
-        return saved(df.withColumn(name, made), scratch(df.sparkSession, "keyed"))
+    (key,) = fresh(docs.columns, "_row")
+    rows = keyed(docs, key)
+    gone = gone_of(rows.select(*(named(c).alias(n) for n, c in columns.items()), F.col(key).alias("key")), "key")
+    return rows.join(gone.select(F.struct("f", "i").alias(key)), key, "left_anti").select(*(named(c) for c in docs.columns))
 
 
 def as_bytes(col: pa.Array) -> list[bytes]:
@@ -107,22 +130,31 @@ def pieces(batches, rows: int = 512):
     give_back()
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of whole texts hold at most ``rows`` rows from now on (a smaller setting stays)."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """Inside, actions send Arrow batches of at most ``rows`` rows; the session's own setting comes back after."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_()}
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    """Arrow schema of a flat DDL string; arrays of simple types too.  Needs no JVM, so workers can call it."""
+def arrow_schema(ddl: str, **types: pa.DataType) -> pa.Schema:
+    """Arrow schema of a flat DDL string; arrays of simple types too.  Needs no JVM, so workers can call it.
+
+    ``types`` gives the Arrow types of fields whose type is only known from the data, as of ids.
+    """
     fields = []
     for part in ddl.split(","):
         name, kind = part.split()
-        fields.append(pa.field(name, pa.list_(_ARROW[kind[6:-1]]) if kind.startswith("array<") else _ARROW[kind]))
+        fields.append(pa.field(name, types[name] if name in types else pa.list_(_ARROW[kind[6:-1]]) if kind.startswith("array<") else _ARROW[kind]))
     return pa.schema(fields)
 
 

@@ -6,8 +6,9 @@ of a window are benchmark words are hashed, looked up and then compared word by
 makes a hit.
 
 The benchmark is broadcast in blocks of ``block_bytes`` of text, so what a worker holds does not grow with
-it; with more than one block the documents are passed once per block and each pass is written in between.
-No shuffle, no keys, no skew: every document is decided by itself.
+it; a long item is cut into segments that overlap by a window.  One block is one pass over the documents.  With
+more, each is a scan that writes the hits it finds (row key, words, items) and nothing of the documents; the hits
+are joined to the documents at the end.  No shuffle by content, no skew: every document is decided by itself.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, alnum_words, as_bytes, mix64, pieces, saved, scratch, small_batches
+from .common import ALNUM_TABLE, alnum_words, as_bytes, fresh, keyed, mix64, named, numbered, pieces, saved, scratch
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_HITS, _ITEMS = "_hit_words", "_hit_items"
+_MARKS = ("_n_words", "_hit_words", "_hit_items")
+_HITS = "array<int>", "array<string>"
 
 
 class Windows:
@@ -96,62 +98,111 @@ def _spans(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist()
 
 
-def _mark(windows, text_at: int, schema: pa.Schema):
+def _segments(width: int, words: int):
+    """Items as texts of at most ``words`` words each; every window lies whole in one of them."""
+
+    def run(batches):
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), as_bytes(batch.column("t")), strict=True):
+                all_words = alnum_words(text)
+                firsts = range(0, max(1, len(all_words) - width + 1), max(1, words - width + 1))
+                cut = [b" ".join(all_words[i : i + words]) for i in firsts] if all_words else []
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(cut), pa.string()), pa.array(cut, pa.binary())], ["item", "t"])
+
+    return run
+
+
+def _find(windows):
+    """(f, i, hit words, items) of the documents with hits."""
+
     def run(batches):
         found = windows.value
         for batch in pieces(batches):
-            old_hits, old_items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            rows = []
+            for f, i, text in zip(batch.column("f").to_pylist(), batch.column("i").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                hit, owners = found.find(alnum_words(text))
+                if owners:
+                    rows.append((f, i, _spans(hit), sorted(owners)))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["f", "i", "hits", "items"])
+
+    return run
+
+
+def _mark(windows, text_at: int, schema: pa.Schema):
+    """Documents, with what each block found if there are several -> documents with their marks."""
+
+    def run(batches):
+        n = len(schema) - 3
+        for batch in pieces(batches):
+            before = [c.to_pylist() for c in batch.columns[n:]] or [[None] * batch.num_rows] * 2
             counts, hits, items = [], [], []
-            for text, before, names in zip(as_bytes(batch.column(text_at)), old_hits, old_items, strict=True):
+            for text, spans, names in zip(as_bytes(batch.column(text_at)), *before, strict=True):
                 words = alnum_words(text)
-                hit, owners = found.find(words)
-                for a, b in zip(before[::2], before[1::2], strict=True):
-                    hit[a:b] = True
+                hit, owners = windows.value.find(words) if windows else (np.zeros(len(words), bool), set())
+                for own in spans or ():
+                    for a, b in zip(own[::2], own[1::2], strict=True):
+                        hit[a:b] = True
                 counts.append(len(words))
                 hits.append(_spans(hit))
-                items.append(sorted(owners.union(names)))
-            rest = [c.cast(f.type) for c, f in zip(batch.columns[:-3], schema, strict=False)]
+                items.append(sorted(owners.union(*(names or ()))))
+            rest = [c.cast(f.type) for c, f in zip(batch.columns[:n], schema, strict=False)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
     return run
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs with _n_words, _hit_words (flat word intervals) and _hit_items (sorted distinct ids as strings)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13, block_bytes: int = 8 << 20, segment_words: int = 1 << 17) -> DataFrame:
+    """docs with three more columns, the last: words, hit words (flat intervals), items hit (sorted ids as strings).
+
+    They are named _n_words, _hit_words and _hit_items, with underscores added where docs has such a name.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark, outside, at = docs.sparkSession, [*docs.columns, *fresh(docs.columns, *_MARKS)], docs.columns.index(text_col)
+    docs, marks = numbered(docs), ("n_words", "hits", "items")
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("t")).where("t IS NOT NULL")
+    bench = bench.mapInArrow(_segments(width, segment_words), "item string, t binary")
     total = bench.agg(F.sum(F.length("t"))).head()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    cols = docs.columns
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), _HITS: F.array().cast("array<int>"), _ITEMS: F.array().cast("array<string>")})
-    for b in range(blocks):
+    out = docs.withColumns(dict(zip(marks, (F.lit(0).cast("long"), *(F.array().cast(t) for t in _HITS)), strict=True))).schema
+
+    def windows(b: int):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b)
-        windows = spark.sparkContext.broadcast(Windows([(r["item"], bytes(r["t"])) for r in part.collect()], width))
-        from pyspark.sql.pandas.types import to_arrow_schema
+        return spark.sparkContext.broadcast(Windows([(r["item"], bytes(r["t"])) for r in part.collect()], width))
 
-        out = out.mapInArrow(_mark(windows, cols.index(text_col), to_arrow_schema(out.schema)), out.schema)
-        if b < blocks - 1:
-            out = saved(out, scratch(spark, "decontamination"))
-    return out
+    if blocks == 1:
+        return docs.mapInArrow(_mark(windows(0), at, to_arrow_schema(out)), out).toDF(*outside)
+    rows, path = keyed(docs, "row"), scratch(spark, "decontamination")
+    texts = rows.select("row.f", "row.i", F.col(f"c{at}").cast("string").alias("text"))
+    for b in range(blocks):
+        held = windows(b)
+        texts.mapInArrow(_find(held), f"f bigint, i bigint, hits {_HITS[0]}, items {_HITS[1]}").write.mode("append").parquet(path)
+        held.unpersist()
+    found = spark.read.schema(f"f bigint, i bigint, hits {_HITS[0]}, items {_HITS[1]}").parquet(path)
+    found = saved(found.groupBy("f", "i").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")), f"{path}-all")
+    joined = rows.join(found.select(F.struct("f", "i").alias("row"), "hits", "items"), "row", "left").select(*docs.columns, "hits", "items")
+    return joined.mapInArrow(_mark(None, at, to_arrow_schema(out)), out).toDF(*outside)
 
 
-def _measures() -> dict:
-    signed = F.transform(_HITS, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
-    n_hit = F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x)
-    return {"n_words": F.col("_n_words"), "n_hit": n_hit, "n_items": F.size(_ITEMS).cast("long"), "items_sha256": F.sha2(F.concat_ws(",", _ITEMS).cast("binary"), 256)}
+def _n_hit(hits: str):
+    signed = F.transform(named(hits), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    return F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, share: int = 20, block_bytes: int = 8 << 20, segment_words: int = 1 << 17) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_words.
 
-    A document is contaminated if ``share * n_hit >= n_words`` and something was hit.  Null text has no words.
-    Benchmark rows without words are ignored; an item without id counts under the empty string; rows with one
-    item_id are one item.  Repeated documents give a row each.  Other columns are ignored.
+    A document is contaminated if ``share * n_hit >= n_words`` and something was hit.  Null and empty text has
+    no words; texts of any length are scanned whole.  Benchmark rows without words are ignored; an item without
+    id counts under the empty string; rows with one item_id are one item.  Repeated documents give a row each;
+    an empty table gives none, an empty benchmark no hits.  Other columns are ignored whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = marked(rows, benchmark, "text", width, block_bytes).withColumns(_measures())
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.col(_HITS).alias("hit_words"))
+    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
+    out = marked(rows, benchmark, "text", width, block_bytes, segment_words).withColumn("n_hit", _n_hit("_hit_words"))
+    sha = F.sha2(F.concat_ws(",", "_hit_items").cast("binary"), 256).alias("items_sha256")
+    dirty = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("_n_words"))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), "n_hit", F.size("_hit_items").cast("long").alias("n_items"), sha, dirty.alias("contaminated"), F.col("_hit_words").alias("hit_words"))
 
 
 def cut_words(text: bytes, spans: list[int]) -> bytes:
@@ -167,10 +218,13 @@ def cut_words(text: bytes, spans: list[int]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13, share: int = 20, block_bytes: int = 8 << 20, length_col: str | None = None) -> DataFrame:
     """docs without contaminated documents, and without the hit spans of the others; columns as in docs.
 
-    Where a text changes, ``length_col`` (if docs has it) gets its new number of code points.
+    All rules of ``contamination`` hold; null text stays null.  Where a text changes, ``length_col`` (if docs has
+    it) gets its new number of code points; other columns pass through whatever their names.
     """
-    out = marked(docs, benchmark, text_col, width, block_bytes).withColumns({"_n_hit": _measures()["n_hit"]})
-    out = out.where((F.col("_n_hit") == 0) | (share * F.col("_n_hit") < F.col("_n_words")))
+    out = marked(docs, benchmark, text_col, width, block_bytes)
+    words, hits, _ = out.columns[-3:]
+    n_hit = _n_hit(hits)
+    out = out.where((n_hit == 0) | (share * n_hit < named(words)))
     at = docs.columns.index(text_col)
     counted = docs.columns.index(length_col) if length_col in docs.columns else None
 
@@ -188,10 +242,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 columns[counted] = pa.array(sizes, columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return out.select(*docs.columns, _HITS).mapInArrow(run, docs.schema)
+    kept = numbered(out.select(*(named(c) for c in docs.columns), named(hits)))
+    return kept.mapInArrow(run, kept.drop(kept.columns[-1]).schema).toDF(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """``contamination`` of the whole table ``documents`` by ``benchmark``, by its rules."""
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("hit_words")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, keyed, saved, scratch
+from .common import as_bytes, fresh, keyed, named, numbered, saved, scratch
 
 
 def line_key(line: bytes) -> bytes:
@@ -46,7 +46,7 @@ def _count(least: int):
 
 def frequent_lines(docs: DataFrame, text_col: str = "text", documents: int = 10, least: int = 1) -> DataFrame:
     """(hi, lo, n): hashes of the keys found in at least ``documents`` rows, with that number."""
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count(least), "hi bigint, lo bigint, n bigint")
+    counted = docs.select(named(text_col).cast("string")).mapInArrow(_count(least), "hi bigint, lo bigint, n bigint")
     return counted.groupBy("hi", "lo").agg(F.sum("n").alias("n")).where(F.col("n") >= documents)
 
 
@@ -57,24 +57,28 @@ def _rebuilt(text: bytes | None, drop) -> tuple[int, int, bytes]:
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
-def _columns(batch, texts, decide, at, keep):
+def _columns(batch, texts, decide, at, keep, names):
     made = [_rebuilt(t, d) for t, d in zip(texts, decide, strict=True)]
     columns = batch.columns[:keep]
     columns[at] = pa.array([None if t is None and not gone else new.decode() for t, (_, gone, new) in zip(texts, made, strict=True)], pa.string())
-    return pa.RecordBatch.from_arrays([*columns, pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], names=[*batch.schema.names[:keep], "_n_lines", "_n_dropped"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], names=[*batch.schema.names[:keep], *names])
 
 
 def drop_frequent_lines(docs: DataFrame, text_col: str = "text", documents: int = 10, least: int = 1, broadcast_lines: int = 500_000) -> DataFrame:
-    """docs with the text rebuilt, and columns _n_lines (before) and _n_dropped.
+    """docs with the text rebuilt, and two more columns, the last: lines (before dropping) and lines dropped.
 
-    Lines end at \\n.  A key is a line without ASCII white space at its ends, A-Z lower-cased; keys of fewer
-    than ``least`` code points never count.  Null or empty text is one empty line; null stays null.  Repeated
-    rows are documents of their own.  Other columns pass through unchanged.
+    Those are named _n_lines and _n_dropped, with underscores added where docs has such a name.  Lines end at \\n.
+    A key is a line without ASCII white space at its ends, A-Z lower-cased; keys of fewer than ``least`` code
+    points never count.  Null or empty text is one empty line; null stays null.  Texts of any length are whole.
+    Repeated rows are documents of their own; an empty table gives an empty result.  Other columns pass through
+    unchanged whatever their names.
     """
     spark = docs.sparkSession
     frequent = saved(frequent_lines(docs, text_col, documents, least), scratch(spark, "lines"))
-    out_schema = docs.withColumns({text_col: F.lit(None).cast("string"), "_n_lines": F.lit(0).cast("long"), "_n_dropped": F.lit(0).cast("long")}).schema
-    at, width = docs.columns.index(text_col), len(docs.columns)
+    at, width, outside = docs.columns.index(text_col), len(docs.columns), [*docs.columns, *fresh(docs.columns, "_n_lines", "_n_dropped")]
+    docs, text_col, names = numbered(docs), f"c{at}", ("n_lines", "n_dropped")
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    out_schema = docs.withColumns({n: F.lit(0).cast("long") for n in names}).schema
     if frequent.count() <= broadcast_lines:
         pairs = np.array([(r["hi"], r["lo"]) for r in frequent.select("hi", "lo").collect()], "<i8").reshape(-1, 2)
         known = spark.sparkContext.broadcast(frozenset(p.tobytes() for p in pairs))
@@ -90,11 +94,11 @@ def drop_frequent_lines(docs: DataFrame, text_col: str = "text", documents: int
 
             for batch in batches:
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
-                yield _columns(batch, texts, [drop] * len(texts), at, width)
+                yield _columns(batch, texts, [drop] * len(texts), at, width, names)
 
-        return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, out_schema)
+        return docs.mapInArrow(run, out_schema).toDF(*outside)
 
-    rows = keyed(docs, "_row")
+    rows = keyed(docs, "row")
 
     def places(batches):
         from xxhash import xxh3_128_digest as digest
@@ -111,20 +115,21 @@ def drop_frequent_lines(docs: DataFrame, text_col: str = "text", documents: int
             both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(rows_, pa.int64()), pa.array(place, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["f", "i", "place", "hi", "lo"])
 
-    lines = rows.select("_row.f", "_row.i", F.col(text_col).cast("string")).mapInArrow(places, "f bigint, i bigint, place int, hi bigint, lo bigint")
-    gone = lines.join(frequent.select("hi", "lo"), ["hi", "lo"]).groupBy("f", "i").agg(F.collect_list("place").alias("_gone"))
-    joined = rows.withColumn(text_col, F.col(text_col).cast("string")).join(gone.select(F.struct("f", "i").alias("_row"), "_gone"), "_row", "left").select(*docs.columns, "_gone")
+    lines = rows.select(F.col("row.f").alias("f"), F.col("row.i").alias("i"), text_col).mapInArrow(places, "f bigint, i bigint, place int, hi bigint, lo bigint")
+    gone = lines.join(frequent.select("hi", "lo"), ["hi", "lo"]).groupBy("f", "i").agg(F.collect_list("place").alias("gone")).select(F.struct("f", "i").alias("row"), "gone")
+    joined = rows.join(gone, "row", "left").select(*docs.columns, "gone")
 
     def rebuild(batches):
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             decide = [(lambda _, i, g=frozenset(g or ()): i in g) for g in batch.column(width).to_pylist()]
-            yield _columns(batch, texts, decide, at, width)
+            yield _columns(batch, texts, decide, at, width, names)
 
-    return joined.mapInArrow(rebuild, out_schema)
+    return joined.mapInArrow(rebuild, out_schema).toDF(*outside)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """``drop_frequent_lines`` of the whole table ``documents``, by its rules, as digests."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return drop_frequent_lines(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))

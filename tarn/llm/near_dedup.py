@@ -6,14 +6,21 @@
 3. In each band bucket all members are compared with its smallest node (an edge a member, never all pairs).
    Edges are first screened by signature (agreement under ``SCREEN`` is over four standard deviations below
    0.75), then confirmed on the full shingle sets.  Confirmed links are merged.
-4. A bucket that still spans several groups is resolved in full: members outside its largest group are
-   compared with all members of other groups, in blocks of bounded size, so no link is lost to the choice of
-   centres.  A first pass over signatures finds the members that have a screened pair in the bucket (a pair
-   counts in the first band it shares only); a second one takes the full shingle sets of those and confirms
-   inside the block, so only links leave a task, never the pairs that were looked at.
-
-Rows that move are small (a signature is 448 bytes); texts are read again only for nodes with screened pairs.
-Skewed buckets: counts are pre-aggregated, joins are split by AQE, blocks bound what a task holds.
+4. A bucket that still spans several groups is resolved in full, so no link is lost to the choice of centres.
+   Up to ``CROWD`` members, those outside its largest group are compared with all members of other groups.  In
+   larger ones members meet only under a second key they share: a shingle among the rarest of both, as many as
+   two sets of their sizes need to have enough in common (prefix filter, by the document frequency of shingles
+   in the crowd).  Texts that are alike by a common template alone share none, so the rows grow with the texts
+   and not with the square of the bucket.  Both kinds are cut into blocks of bounded size.  A first pass over
+   signatures finds the members that have a screened pair (a pair counts in the first band it shares only); a
+   second one takes the full shingle sets of those and confirms inside the block, so only links leave a task,
+   never the pairs that were looked at.
+
+``exact=True`` sends all nodes through the prefix filter and skips the signature screen: that finds every link
+by construction, at the price of all shingles in a shuffle.
+
+Rows that move are small (a signature is 448 bytes); texts are read again only for nodes with screened pairs and
+crowds.  Skewed buckets: counts are pre-aggregated, joins are split by AQE, blocks bound what a task holds.
 """
 
 from __future__ import annotations
@@ -23,14 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, as_bytes, give_back, keyed, mix64, pieces, saved, scratch, small_batches, space_words
+from .common import WordIds, as_bytes, give_back, mix64, pieces, remove, rows_of, saved, scratch, small_batches, space_words, without
 
 SLOTS, ROWS, SCREEN = 112, 4, 0.58
 #: Members in a block of signatures; shingles in a block of sets, where a member counts ROW_WEIGHT more.
 QUERY_BLOCK, DATA_BLOCK = 4096, 1024
+CROWD = 1024
 QUERY_WEIGHT, DATA_WEIGHT, ROW_WEIGHT = 1_000_000, 500_000, 64
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1B54A32D192ED03)
 _WORDS = WordIds()
+#: Sizes at which a class of set sizes starts, five per cent apart.
+_CLASSES = np.array([1], np.int64)
+while _CLASSES[-1] < 1 << 40:
+    _CLASSES = np.append(_CLASSES, max(_CLASSES[-1] + 1, int(_CLASSES[-1] * 1.05)))
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
@@ -63,8 +75,9 @@ def _lower(best: np.ndarray, elements: np.ndarray) -> None:
     """Lower the slots of ``best`` to what the elements give."""
     slots, low, full = len(best), np.uint64(0xFFFFFFFF), np.uint64(32)
     order = rows = None
+    steps = _STEP * np.arange(1, slots + 1, dtype=np.uint64)
     for j in range(slots):
-        x = mix64(elements + _STEP * np.uint64(j + 1))
+        x = mix64(elements + steps[j])
         k = j + (((x & low) * np.uint64(slots - j)) >> full).astype(np.int64)
         if j == 0:
             at = k
@@ -96,6 +109,8 @@ def _profile(width: int, slots: int):
                 keys.append(xxh3_128_digest(b" ".join(words)))
                 signs.append(mix64(superminhash(found, slots)).astype("<u4").tobytes() if len(found) else b"")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("f"), batch.column("i"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "f", "i", "n", "seq", "sign"])
+        _WORDS.clear()  # the worker is kept for later stages
+        give_back()
 
     return run
 
@@ -141,6 +156,58 @@ def _sets(width: int):
     return run
 
 
+def _tokens(batches):
+    """A row per shingle of each set."""
+    for batch in pieces(batches, 64):
+        sets = batch.column("shingles").to_pylist()
+        sizes = [len(x) // 8 for x in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.frombuffer(b"".join(sets), "<i8"))], ["node", "token"])
+
+
+def prefix_lengths(n: int, percent: int) -> list[tuple[int, int]]:
+    """(class, length): how many of its rarest shingles a set of size n must show to sets of each size class.
+
+    Two sets of sizes n and m with 100 * both >= percent * union have at least a = ceil(percent * (n + m) /
+    (100 + percent)) in common, so the first n - a + 1 and m - a + 1 in any order share one.
+    """
+    least, most = -(-percent * n // 100), 100 * n // percent
+    out = []
+    for c in range(int(np.searchsorted(_CLASSES, least, "right")) - 1, int(np.searchsorted(_CLASSES, most, "right"))):
+        m = max(int(_CLASSES[c]), least)
+        out.append((c, n + percent * (n + m) // -(100 + percent) + 1))
+    return out
+
+
+def _prefixes(percent: int):
+    """Sets' shared shingles, rarest first -> a key for each shingle that a set shows to a class."""
+
+    def run(batches):
+        for batch in pieces(batches, 64):
+            nodes, keys = [], [np.empty(0, np.uint64)]
+            for node, n, shared in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+                tokens = np.array(shared, np.int64).view(np.uint64)
+                own, alone = int(np.searchsorted(_CLASSES, n, "right")) - 1, n - len(shared)  # shingles of one set alone come first
+                for c, length in prefix_lengths(n, percent):
+                    some = tokens[: max(0, length - alone)]
+                    pair = np.uint64(min(own, c) << 20 | max(own, c))
+                    keys.append(mix64(some * _BASE + mix64(np.full(1, pair))[0]))
+                    nodes.append(np.full(len(some), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate([np.empty(0, np.int64), *nodes]))], ["band", "node"])
+        give_back()
+
+    return run
+
+
+def prefix_keys(sets: DataFrame, percent: int, path: str, broadcast_tokens: int = 500_000) -> DataFrame:
+    """(band, node): two nodes whose sets are linked share a band here.  sets: node, n, shingles."""
+    tokens = sets.select("node", "shingles").mapInArrow(_tokens, "node bigint, token bigint")
+    common = saved(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), f"{path}/common-shingles")
+    held = tokens.join(F.broadcast(common) if common.count() <= broadcast_tokens else common, "token")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
+    shared = held.groupBy("node").agg(listed.alias("shared")).join(sets.select("node", "n"), "node")
+    return shared.select("node", "n", "shared").mapInArrow(_prefixes(percent), "band bigint, node bigint")
+
+
 def _confirm(width: int, percent: int):
     def run(batches):
         last, own = None, None
@@ -229,7 +296,8 @@ def _suspects(screen: float, slots: int, rows: int):
         signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), "<u4").reshape(len(node), slots)
         keys, band = band_keys(signs, rows), table.column("band").to_numpy()[0]
         found, data = np.zeros(len(node), bool), np.flatnonzero(~query)
-        place = int(np.flatnonzero(keys[0].view(np.int64) == band)[0])
+        places = np.flatnonzero(keys[0].view(np.int64) == band)
+        place = int(places[0]) if len(places) else 0  # a prefix key is no band: nothing comes before it
         for q in np.flatnonzero(query):
             other = data[group[data] != group[q]]
             near = other[(signs[other] == signs[q]).sum(axis=1) >= screen * slots]
@@ -306,22 +374,33 @@ def _blocks(rows: DataFrame, weight: Column, q_most: int, d_most: int) -> DataFr
     return queries.union(data)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, slots: int = SLOTS, rows: int = ROWS, screen: float = SCREEN, broadcast_nodes: int = 200_000) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, kept (and row_id, n_copies).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, slots: int = SLOTS, rows: int = ROWS, screen: float = SCREEN, broadcast_nodes: int = 200_000, key: str | None = None, exact: bool = False) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id, kept (and row_id, first, n_copies).
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds distinct shingles of ``width``
     words, or the whole sequence if it is shorter.  Documents with 100 * intersection >= percent * union are
     linked; component_id is the smallest doc_id reachable (null ids come last).  Null, empty or blank text has
-    an empty set and links with nothing.  Of repeated rows the first alone is kept.  ``n_copies`` is the number
-    of documents with that word sequence.
-    ``docs`` may hold ``row_id`` made by ``common.keyed``.
+    an empty set and links with nothing.  ``kept`` is doc_id = component_id (two nulls are equal), so rows that
+    repeat the kept id are kept with it; ``first`` marks exactly one row of each group, and every row without
+    words.  ``n_copies`` is the number of documents with that word sequence.  Texts of any length are whole.  An
+    empty table gives an empty result.  ``key`` names a column of docs made by ``common.keyed``; else one is
+    made.  Other columns are ignored whatever their names.
     """
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "near")
-    small_batches(spark)
-    if "row_id" not in docs.columns:
-        docs = keyed(docs.select(id_col, text_col))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col("row_id.f").alias("f"), F.col("row_id.i").alias("i"), F.col(text_col).cast("string").alias("text"))
+    docs = rows_of(docs, key, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     kind = dict(docs.dtypes)["doc_id"]
+    with small_batches(spark):
+        labelled, profile = _labelled(docs, path, kind, width, percent, slots, rows, screen, broadcast_nodes, exact)
+    out = profile.drop("sign").join(labelled, "seq", "left")
+    alone = F.col("head").isNull()
+    first = alone | (F.col("head.f").eqNullSafe(F.col("f")) & F.col("head.i").eqNullSafe(F.col("i")))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    return out.select("doc_id", F.struct("f", "i").alias("row_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), first.alias("first"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def _labelled(docs: DataFrame, path: str, kind: str, width: int, percent: int, slots: int, rows: int, screen: float, broadcast_nodes: int, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """((seq, head, n_copies) of all word sequences, the documents' profiles), both written under path."""
+    spark = docs.sparkSession
     profile = saved(docs.mapInArrow(_profile(width, slots), f"doc_id {kind}, f bigint, i bigint, n bigint, seq binary, sign binary"), f"{path}/profile")
 
     # A node per different word sequence.
@@ -340,20 +419,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         few = places.count() <= broadcast_nodes
         return docs.join(F.broadcast(places) if few else places, ["f", "i"]).select("node", "text")
 
+    def sets_of(needed: DataFrame, name: str) -> DataFrame:
+        return saved(texts_of(needed, name).mapInArrow(_sets(width), "node bigint, shingles binary"), f"{path}/{name}-sets")
+
     screened = edges.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("sign_a")), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b")
     pairs = saved(screened.select("a", "b", "sign_a", "sign_b").mapInArrow(_agree(screen), "a bigint, b bigint"), f"{path}/star-pairs")
     texts = saved(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "star"), f"{path}/star-texts")
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     links = saved(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a bigint, b bigint"), f"{path}/star-links")
+    remove(spark, f"{path}/star-texts", f"{path}/star-pairs")
     groups = components(links)
 
     def grouped(rows: DataFrame) -> DataFrame:
         return rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     # What is still apart, in full: the members that may have links by signature, then their sets.
-    blocks = _blocks(grouped(members.select("band", "node")), F.lit(1), QUERY_BLOCK, DATA_BLOCK).join(signs, "node")
-    suspects = saved(blocks.groupBy("band", "qb", "db").applyInArrow(_suspects(screen, slots, rows), "band bigint, node bigint").distinct(), f"{path}/suspects")
-    sets = saved(texts_of(suspects.select("node").distinct(), "rest").mapInArrow(_sets(width), "node bigint, shingles binary"), f"{path}/sets")
+    within = grouped(members.select("band", "node"))
+    large = within.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(f"lo < hi AND members > {CROWD}")
+    large = saved(large.select("band"), f"{path}/crowds")
+    if exact:
+        suspects = prefix_keys(sets_of(nodes.select("node"), "all").join(nodes.select("node", "n"), "node"), percent, path)
+    else:
+        candidates = within
+        if not large.isEmpty():
+            crowd = sets_of(members.join(large, "band").select("node").distinct(), "crowd").join(nodes.select("node", "n"), "node")
+            met = saved(prefix_keys(crowd, percent, path), f"{path}/prefix-keys")
+            candidates = within.join(large, "band", "left_anti").unionByName(grouped(met))
+        blocks = _blocks(candidates, F.lit(1), QUERY_BLOCK, DATA_BLOCK).join(signs, "node")
+        suspects = blocks.groupBy("band", "qb", "db").applyInArrow(_suspects(screen, slots, rows), "band bigint, node bigint").distinct()
+    suspects = saved(suspects, f"{path}/suspects")
+    sets = sets_of(suspects.select("node").distinct(), "rest")
     weighed = grouped(suspects).join(nodes.select("node", "n"), "node")
     blocks = _blocks(weighed, F.col("n") + ROW_WEIGHT, QUERY_WEIGHT, DATA_WEIGHT).join(sets, "node")
     new = saved(blocks.groupBy("band", "qb", "db").applyInArrow(_resolve(percent), "a bigint, b bigint").distinct(), f"{path}/rest-links")
@@ -363,19 +458,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = nodes.select("node", "seq", "first", "n_copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = labelled.groupBy("component").agg(F.min("first").alias("head"))
     labelled = saved(labelled.join(heads, "component").select("seq", "head", "n_copies"), f"{path}/labelled")
-    out = profile.drop("sign").join(labelled, "seq", "left")
-    alone = F.col("head").isNull()
-    kept = alone | (F.col("head.f").eqNullSafe(F.col("f")) & F.col("head.i").eqNullSafe(F.col("i")))
-    return out.select("doc_id", F.struct("f", "i").alias("row_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), kept.alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    remove(spark, *(f"{path}/{x}" for x in ("nodes", "members", "star-places", "star-links", "crowds", "all-places", "all-sets", "crowd-places", "crowd-sets", "common-shingles", "prefix-keys", "suspects", "rest-places", "rest-sets", "rest-links")))
+    return labelled, profile
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each group stays: the one with the smallest id.  Columns as in docs."""
-    rows = keyed(docs, "_row")
-    small = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col("_row").alias("row_id"))
-    gone = near_duplicates(small, **how).where(~F.col("kept")).select(F.col("row_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    """One document of each group of ``near_duplicates`` stays: the first row of the smallest id.  Columns as in docs."""
+    def gone(small, key):
+        return near_duplicates(small, key=key, **how).where(~F.col("first")).select("row_id.*")
+
+    return without(docs, gone, doc_id=id_col, text=text_col)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_id")
+    """``near_duplicates`` of the whole table ``documents``, by its rules."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_id", "first")

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, keyed, saved, scratch, small_batches
+from .common import arrow_schema, give_back, named, rows_of, saved, scratch, small_batches
 from .encoding import default_path, encoder
 
-_TOKENS = "doc_id bigint, f bigint, i bigint, part int, n bigint, crcs array<bigint>, n_full bigint, full_before bigint, rest bigint, rest_crc bigint, class int, rank bigint, fill_before bigint, ids binary"
-_PIECE = "doc_id bigint, f bigint, i bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, place bigint"
+_TOKENS = "doc_id {id}, f bigint, i bigint, part int, n bigint, crcs array<bigint>, n_full bigint, full_before bigint, rest bigint, rest_crc bigint, class int, rank bigint, fill_before bigint, ids binary"
+_PIECE = "doc_id {id}, f bigint, i bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, place bigint"
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -145,16 +145,14 @@ def _encode(path: str, end_id: int, length: int, unit: int, filler: int):
                     if c:
                         ranks[c] = rank + 1
                     fulls, fills, at = fulls + n_full, fills + rest * fill, at + 1
-                yield _batch(rows, _TOKENS)
+                yield _batch(rows, _TOKENS, some.schema.field("doc_id").type)
         give_back()
 
     return run
 
 
-def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    from .common import arrow_schema
-
-    schema = arrow_schema(ddl)
+def _batch(rows: list[tuple], ddl: str, doc_id: pa.DataType | None = None) -> pa.RecordBatch:
+    schema = arrow_schema(ddl, doc_id=doc_id)
     columns = zip(*rows, strict=True) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
@@ -181,7 +179,7 @@ def _cut(batches):
         for doc_id, f, i, n, rest, ids, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "f", "i", "n", "rest", "ids", "cuts")), strict=True):
             for c in cuts:
                 rows.append((doc_id, f, i, n - rest + c["at"], c["length"], zlib.crc32(ids[4 * c["at"] : 4 * (c["at"] + c["length"])]), n, c["sequence_id"], c["offset"]))
-        yield _batch(rows, _PIECE)
+        yield _batch(rows, _PIECE, batch.schema.field("doc_id").type)
 
 
 def _spread(df: DataFrame, a: str, b: str, width: int) -> DataFrame:
@@ -189,19 +187,21 @@ def _spread(df: DataFrame, a: str, b: str, width: int) -> DataFrame:
     return df.withColumn("stretch", F.explode(F.sequence(F.expr(f"{a} div {width}"), F.expr(f"({b} - 1) div {width}"))))
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length: int = 4096, unit: int = 16, filler: int = 48) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length: int = 4096, unit: int = 16, filler: int = 48, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and row_id).
 
-    docs has doc_id and text; null or empty text is the end id alone.  Every id lies in exactly one piece.
-    Repeated rows are packed each on its own; other columns are ignored; an empty table gives no piece.
-    Sequences shorter than ``length`` are to be padded, unless their length is a power of two.
+    Null or empty text is the end id alone; texts of any length are encoded whole.  Every id lies in exactly one
+    piece.  Repeated rows are packed each on its own; documents of equal length are told apart by their rows.
+    An empty table gives no piece.  Sequences shorter than ``length`` are to be padded, unless their length is a
+    power of two.  ``key`` names a column of docs made by ``common.keyed``; else one is made.  Other columns are
+    ignored whatever their names.
     """
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "packing")
-    small_batches(spark)
-    if "row_id" not in docs.columns:
-        docs = keyed(docs.select("doc_id", "text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("row_id.f").alias("f"), F.col("row_id.i").alias("i"), F.col("text").cast("string").alias("text"))
-    tokens = saved(rows.mapInArrow(_encode(tokenizer or default_path("word_bpe_49k.json"), end_id, length, unit, filler), _TOKENS), f"{path}/tokens")
+    rows = rows_of(docs, key, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
+    kind = dict(rows.dtypes)["doc_id"]
+    token_ddl, piece_ddl = _TOKENS.format(id=kind), _PIECE.format(id=kind)
+    with small_batches(spark):
+        tokens = saved(rows.mapInArrow(_encode(tokenizer or default_path("word_bpe_49k.json"), end_id, length, unit, filler), token_ddl), f"{path}/tokens")
 
     items = tokens.where("class > 0")
     per_part = items.groupBy("class", "part").count()
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length:
     slots = Slots(classes, whole_patterns(np.array(classes, np.int64), np.array([counts[c] for c in classes], np.int64), length // unit))
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("class", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    placed = items.join(offsets, ["class", "part"]).mapInArrow(_assign(slots, length), _PIECE)
+    placed = items.join(offsets, ["class", "part"]).mapInArrow(_assign(slots, length), piece_ddl)
     inside = Window.partitionBy("sequence_id").orderBy("place")
     placed = placed.withColumn("offset", F.sum("length").over(inside) - F.col("length")).drop("place")
     placed = saved(placed, f"{path}/placed")
@@ -245,14 +245,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length:
     lo, hi = F.greatest("a", "c"), F.least("b", "d")
     met = met.where((lo < hi) & (F.expr(f"greatest(a, c) div {length}") == F.col("stretch")))
     cuts = met.select("f", "i", F.struct((lo - F.col("c")).alias("at"), (hi - lo).alias("length"), "sequence_id", (F.col("base") + lo - F.col("a")).alias("offset")).alias("cut")).groupBy("f", "i").agg(F.collect_list("cut").alias("cuts"))
-    cut = tokens.where("ids IS NOT NULL").select("doc_id", "f", "i", "n", "rest", "ids").join(cuts, ["f", "i"]).mapInArrow(_cut, _PIECE).withColumnRenamed("place", "offset")
+    cut = tokens.where("ids IS NOT NULL").select("doc_id", "f", "i", "n", "rest", "ids").join(cuts, ["f", "i"]).mapInArrow(_cut, piece_ddl).withColumnRenamed("place", "offset")
     order_ = ["doc_id", "f", "i", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     out = placed.select(order_).union(full.select(order_)).union(cut.select(order_))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.struct("f", "i").alias("row_id"))
 
 
-def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """(sequence_id, ids): the packed ids.  docs holds row_id, as given to ``pack``."""
+def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str | None = None, end_id: int = 2, text_col: str = "text", key: str = "row_id") -> DataFrame:
+    """(sequence_id, ids): the packed ids.  docs holds the key that was given to ``pack``; null text is empty."""
     cuts = pieces.groupBy("row_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
     path = tokenizer or default_path("word_bpe_49k.json")
 
@@ -264,9 +264,10 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str | None = None,
                 rows += [(c["sequence_id"], c["offset"], ids[c["start"] : c["start"] + c["length"]].tolist()) for c in cuts]
             yield _batch(rows, "sequence_id bigint, offset bigint, ids array<bigint>")
 
-    parts = docs.select("row_id", "text").join(cuts, "row_id").select("text", "cuts").mapInArrow(run, "sequence_id bigint, offset bigint, ids array<bigint>")
+    parts = docs.select(named(key).alias("row_id"), named(text_col).cast("string").alias("text")).join(cuts, "row_id").select("text", "cuts").mapInArrow(run, "sequence_id bigint, offset bigint, ids array<bigint>")
     return parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """``pack`` of the whole table ``documents``, by its rules."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_id")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, pieces, saved, scratch
+from .common import keyed, numbered, pieces, remove, rows_of, saved, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -127,7 +127,7 @@ def words_beside(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
 
 
 _WORDS = pa.list_(pa.struct([("t", pa.string()), ("at", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
-_FOUND = "doc_id bigint, f bigint, i bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, base_sha256 string, entities array<bigint>, words array<struct<t:string,at:array<struct<a:int,b:int>>>>"
+_FOUND = "f bigint, i bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, base_sha256 string, entities array<bigint>, words array<struct<t:string,at:array<struct<a:int,b:int>>>>"
 
 
 def _find(batches):
@@ -159,18 +159,18 @@ def _document_counts(wanted):
     return run
 
 
-def personal_data(docs: DataFrame, support: int = 1, alpha: float = 0.75, broadcast_terms: int = 500_000) -> DataFrame:
+def personal_data(docs: DataFrame, support: int = 1, alpha: float = 0.75, broadcast_terms: int = 500_000, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """A row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, row_id.
 
-    docs has doc_id and text; null text is empty.  ``spans`` lists ``kind:start:end`` by kind (term last), then
-    start, comma-joined.  Repeated rows are documents of their own; other columns are ignored.  ``docs`` may
-    hold ``row_id`` made by ``common.keyed``.
+    ``spans`` lists ``kind:start:end`` by kind (term last), then start, comma-joined.  Null and empty text has
+    no spans; texts of any length are scanned whole.  Repeated rows are documents of their own, each counted.
+    Terms of equal weight are all kept or all left out.  An empty table gives an empty result.  ``key`` names a
+    column of docs made by ``common.keyed``; else one is made.  Other columns are ignored whatever their names.
     """
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "pii")
-    if "row_id" not in docs.columns:
-        docs = keyed(docs.select("doc_id", "text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("row_id.f").alias("f"), F.col("row_id.i").alias("i"), F.col("text").cast("string").alias("text"))
-    found = saved(rows.mapInArrow(_find, _FOUND), f"{path}/found")
+    rows = rows_of(docs, key, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
+    kind = dict(rows.dtypes)["doc_id"]
+    found = saved(rows.mapInArrow(_find, f"doc_id {kind}, {_FOUND}"), f"{path}/found")
 
     n = float(found.count())
     n_c = found.select(F.explode("entities").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
@@ -196,6 +196,8 @@ def personal_data(docs: DataFrame, support: int = 1, alpha: float = 0.75, broadc
     marked = both.join(disclosing, ["c", "t"]).select("f", "i", "t").distinct()
     places = rare.join(marked, ["f", "i", "t"]).select("f", "i", F.explode("at").alias("x"))
     spans = places.groupBy("f", "i").agg(F.sort_array(F.collect_list("x")).alias("terms"))
+    spans = saved(spans, f"{path}/spans")
+    remove(spark, *(f"{path}/{x}" for x in ("n_c", "rare", "both")))
     out = found.join(spans, ["f", "i"], "left")
     more = F.transform(F.coalesce("terms", F.array()), lambda x: F.concat(F.lit("term:"), x["a"].cast("string"), F.lit(":"), x["b"].cast("string")))
     listed = F.array_join(F.filter(F.concat(F.array("base"), more), lambda x: x != ""), ",")
@@ -214,13 +216,17 @@ def sanitised_text(text: str, spans: str) -> str:
     return "".join(out) + text[last:]
 
 
-def sanitise(docs: DataFrame, **how) -> DataFrame:
-    """docs (with doc_id, text) with sanitised texts; columns as in docs, null text stays null."""
-    rows = keyed(docs, "_row")
-    small = rows.select("doc_id", "text", F.col("_row").alias("row_id"))
-    spans = personal_data(small, **how).where("spans <> ''").select(F.col("row_id").alias("_row"), F.col("spans").alias("_spans"))
-    joined = rows.join(spans, "_row", "left").select(*docs.columns, "_spans")
-    at = docs.columns.index("text")
+def sanitise(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """docs with sanitised texts; columns as in docs, null text stays null.
+
+    The spans are those of ``personal_data``, whose rules hold here; other columns pass through whatever their
+    names.
+    """
+    at, names = docs.columns.index(text_col), docs.columns
+    rows = keyed(numbered(docs), "row")
+    small = rows.select(F.col(f"c{at}").alias("text"), F.lit(0).alias("doc_id"), F.col("row").alias("key"))
+    spans = personal_data(small, key="key", **how).where("spans <> ''").select(F.col("row_id").alias("row"), "spans")
+    joined = rows.join(spans, "row", "left").drop("row")
 
     def run(batches):
         for batch in batches:
@@ -229,8 +235,9 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, joined.drop("spans").schema).toDF(*names)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """``personal_data`` of the whole table ``documents``, by its rules."""
     return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_id")

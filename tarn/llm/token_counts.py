@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
 from .encoding import default_path, encoder
 
 RULES = ("majority", "start")
@@ -59,7 +60,7 @@ def _attribute(path: str, fields: tuple[str, ...], lines_of: str, joiner: bytes,
     def run(batches):
         sizes = token_bytes(path)
         for batch in batches:
-            columns = [[(x or "").encode() for x in batch.column(c).to_pylist()] for c in fields]
+            columns = [[(x or "").encode() for x in batch.column(f"_{k}").to_pylist()] for k in range(len(fields))]
             texts = [joiner.join(parts) for parts in zip(*columns, strict=True)]
             counts: list[list[int]] = [[] for _ in fields]
             lines, crossings, totals = [], [], []
@@ -99,15 +100,18 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...
     """A row per document: doc_id, n_tokens, <field>_tokens for each field, line_tokens, n_crossing.
 
     ``line_tokens`` has a count for each line of ``lines_of`` (null or empty: one line).  Null fields are
-    empty.  Repeated rows each give a row; other columns are ignored.
+    empty; texts of any length are encoded whole.  A token that several sections hold equal parts of belongs to
+    the first.  Repeated rows each give a row; an empty table gives none; other columns are ignored whatever
+    their names.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, n_tokens bigint, {', '.join(f'{c}_tokens bigint' for c in fields)}, line_tokens array<bigint>, n_crossing bigint"
-    rows = docs.select(F.col(id_col).alias("_id"), *(F.col(c).cast("string").alias(c) for c in fields))
+    rows = docs.select(named(id_col).alias("_id"), *(named(c).cast("string").alias(f"_{k}") for k, c in enumerate(fields)))
     return rows.mapInArrow(_attribute(tokenizer or default_path("byte_bpe_50k.json"), tuple(fields), lines_of, joiner.encode(), rule), schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """``token_counts`` of the whole table ``documents``, by its rules."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

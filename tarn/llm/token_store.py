@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc32_join, mix64, prefix_sums, saved, scratch
+from .common import arrow_schema, crc32_join, mix64, named, pieces, prefix_sums, saved, scratch, small_batches
 from .encoding import default_path, encoder
 
 WINDOW, LEAST, MOST = 16, 256, 8192
 _BASE = 0x9E3779B97F4A7C15 | 1
-_OBJECT = "kind int, key binary, doc_id bigint, n bigint, data binary"
+_OBJECT = "kind int, key binary, doc_id {id}, n bigint, data binary"
 _POWERS: list[np.ndarray] = []
 
 
@@ -97,25 +97,23 @@ def _encode(path: str, end_id: int, bits: int, remember: int):
         from pyspark import TaskContext
 
         part, place, seen = TaskContext.get().partitionId(), 0, set()
-        for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                rows: list[tuple] = []
-                for doc_id, raw in zip(ids_of[i : i + 256], encoder(path).ids([t or "" for t in texts[i : i + 256]]), strict=True):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype("<u4")
-                    recipe, last = [], 0
-                    for end in cuts(ids, bits):
-                        chunk = ids[last:end]
-                        key = hashlib.sha256(chunk.tobytes()).digest()
-                        recipe.append(key + struct.pack("<I", end - last))
-                        if key not in seen:
-                            if len(seen) < remember:
-                                seen.add(key)
-                            rows.append((0, key, None, end - last, packed(chunk)))
-                        last = end
-                    rows.append((1, struct.pack(">qq", part, place), doc_id, len(ids), b"".join(recipe)))
-                    place += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), arrow_schema(_OBJECT), strict=True)], schema=arrow_schema(_OBJECT))
+        for batch in pieces(batches, 256):
+            schema, rows = arrow_schema(_OBJECT, doc_id=batch.schema.field(0).type), []
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encoder(path).ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype("<u4")
+                recipe, last = [], 0
+                for end in cuts(ids, bits):
+                    chunk = ids[last:end]
+                    key = hashlib.sha256(chunk.tobytes()).digest()
+                    recipe.append(key + struct.pack("<I", end - last))
+                    if key not in seen:
+                        if len(seen) < remember:
+                            seen.add(key)
+                        rows.append((0, key, None, end - last, packed(chunk)))
+                    last = end
+                rows.append((1, struct.pack(">qq", part, place), doc_id, len(ids), b"".join(recipe)))
+                place += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -147,29 +145,33 @@ def _shard_roots(index: DataFrame, fan: int = 1024) -> DataFrame:
             return level.drop("place")
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, bits: int = 10, remember: int = 200_000) -> str:
-    """Encode docs (doc_id, text; null text is empty) into a store at ``path``.
+def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, bits: int = 10, remember: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Encode docs into a store at ``path``.
 
-    Repeated doc_ids stay separate documents.  Other columns are ignored.  An empty table gives an empty
-    store.  ``remember`` bounds the chunk addresses a task holds to send each chunk only once.
+    Null text is empty; texts of any length are encoded whole.  Repeated ids stay separate documents, in any
+    fixed order.  Ids have any type that sorts.  Other columns are ignored whatever their names.  An empty table
+    gives an empty store.  ``remember`` bounds the chunk addresses a task holds to send each chunk only once.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(tokenizer or default_path("byte_bpe_50k.json"), end_id, bits, remember), _OBJECT)
-    rows.groupBy("kind", "key").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("data").alias("data")).write.partitionBy("kind").parquet(f"{path}/objects")
-    recipes = objects(spark, path).where("kind = 1").drop("kind")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = recipes.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
-    index = ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(_index, "shard int, doc_id bigint, key binary, n bigint, local_start bigint, root binary")
-    _shard_roots(saved(index, f"{path}/index")).write.parquet(f"{path}/manifest")
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
+    rows = rows.mapInArrow(_encode(tokenizer or default_path("byte_bpe_50k.json"), end_id, bits, remember), _OBJECT.format(id=kind))
+    with small_batches(spark):
+        rows.groupBy("kind", "key").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("data").alias("data")).write.partitionBy("kind").parquet(f"{path}/objects")
+        recipes = objects(spark, path, kind).where("kind = 1").drop("kind")
+        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = recipes.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
+        index = ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(_index, f"shard int, doc_id {kind}, key binary, n bigint, local_start bigint, root binary")
+        _shard_roots(saved(index, f"{path}/index")).write.parquet(f"{path}/manifest")
     return path
 
 
-def objects(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key binary, doc_id bigint, n bigint, data binary, kind int").parquet(f"{path}/objects")
+def objects(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    kind = kind or dict(index_of(spark, path).dtypes)["doc_id"]
+    return spark.read.schema(f"key binary, doc_id {kind}, n bigint, data binary, kind int").parquet(f"{path}/objects")
 
 
 def index_of(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("shard int, doc_id bigint, key binary, n bigint, local_start bigint, root binary").parquet(f"{path}/index")
+    return spark.read.parquet(f"{path}/index")
 
 
 def _check_chunks(batches):
@@ -194,7 +196,7 @@ def _spread(batches):
                 places.append(i // 36)
                 chunks.append(data[i : i + 32])
                 sizes.append(struct.unpack_from("<I", data, i + 32)[0])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(chunks, pa.binary()), pa.array(sizes, pa.int64())], ["key", "doc_id", "place", "chunk", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, batch.schema.field("doc_id").type), pa.array(places, pa.int32()), pa.array(chunks, pa.binary()), pa.array(sizes, pa.int64())], ["key", "doc_id", "place", "chunk", "size"])
 
 
 def _join_crcs(batches):
@@ -219,8 +221,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     if not verify_manifest(spark, path):
         raise ValueError(f"the index differs from the manifest: {path}")
     all_objects = objects(spark, path)
+    kind = dict(all_objects.dtypes)["doc_id"]
     chunks = all_objects.where("kind = 0").select("key", "n", "data").mapInArrow(_check_chunks, "chunk binary, crc bigint")
-    parts = all_objects.where("kind = 1").select("key", "doc_id", "data").mapInArrow(_spread, "key binary, doc_id bigint, place int, chunk binary, size bigint")
+    parts = all_objects.where("kind = 1").select("key", "doc_id", "data").mapInArrow(_spread, f"key binary, doc_id {kind}, place int, chunk binary, size bigint")
     per_doc = parts.join(chunks, "chunk").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "size", "crc", "chunk"))).alias("parts"))
     made = per_doc.mapInArrow(_join_crcs, "key binary, n_tokens bigint, ids_crc32 bigint, made_root binary")
     index = index_of(spark, path)
@@ -241,8 +244,9 @@ def verify_manifest(spark: SparkSession, path: str) -> bool:
 
 def reconstruct(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """(doc_id, ids) of the asked documents, from recipes and chunks."""
+    kind = dict(objects(spark, path).dtypes)["doc_id"]
     wanted = objects(spark, path).where("kind = 1").where(F.col("doc_id").isin(doc_ids)).select("key", "doc_id", "data")
-    parts = wanted.mapInArrow(_spread, "key binary, doc_id bigint, place int, chunk binary, size bigint")
+    parts = wanted.mapInArrow(_spread, f"key binary, doc_id {kind}, place int, chunk binary, size bigint")
     chunks = objects(spark, path).where("kind = 0").select(F.col("key").alias("chunk"), "data")
     whole = parts.join(chunks, "chunk").groupBy("key", "doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "data"))).alias("parts"))
 
@@ -251,9 +255,10 @@ def reconstruct(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame
             ids = [np.concatenate([unpacked(p["data"]) for p in parts]).astype(np.int64) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return whole.mapInArrow(put, "doc_id bigint, ids array<bigint>")
+    return whole.mapInArrow(put, f"doc_id {kind}, ids array<bigint>")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of the whole table ``documents``, read back; the rules are those of ``write_store``."""
     path = write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark, "tokens"))
     return read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "root")

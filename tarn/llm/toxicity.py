@@ -6,8 +6,8 @@ weight and a short vector per feature, so a pair of terms (an insult and a group
 less, than the sum of both.
 
 Fitting uses a bounded sample: at most ``per_class`` labelled documents of each class, those with the smallest
-hashes of their ids.  The sample's ids (bounded) are broadcast to pick the texts in one scan; term counts are
-aggregated by Spark; the driver gets at most ``features`` terms and the sample's feature numbers.  Scoring
+hashes of their ids.  The sample's ids (bounded) are broadcast to pick the texts in one scan, one for each id;
+term counts are aggregated by Spark; the driver gets at most ``features`` terms and the sample's feature numbers.  Scoring
 covers every whole text in one pass without a shuffle.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, as_bytes, pieces, small_batches
+from .common import alnum_words, as_bytes, fresh, named, numbered, pieces, remove, saved, scratch, text_or_empty
 
 PREFIXES = (4, 5, 6)
 
@@ -77,6 +77,12 @@ class FactorizationMachine:
     def score(self, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(flat, owner, n)[0], -30, 30)))
 
+    def gradients(self, flat: np.ndarray, owner: np.ndarray, sums: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(features used, gradient of their weights, of their vectors) for the error of each document."""
+        used, slot = np.unique(flat, return_inverse=True)
+        step = error[owner][:, None] * (sums[owner] - self.v[flat])
+        return used, np.bincount(slot, error[owner], len(used)), np.stack([np.bincount(slot, step[:, k], len(used)) for k in range(step.shape[1])], axis=1)
+
     def fit(self, sets: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.1, l2: float = 1e-4, seed: int = 7) -> None:
         rng, state = np.random.default_rng(seed), [0.0, np.zeros_like(self.w), np.zeros_like(self.v)]
         prior = np.average(labels, weights=weights)
@@ -95,11 +101,8 @@ class FactorizationMachine:
                 self.b -= rate * g / (1e-8 + state[0] ** 0.5)
                 if not len(flat):
                     continue
-                used, slot = np.unique(flat, return_inverse=True)
-                e = error[owner]
-                gw = np.bincount(slot, e, len(used)) + l2 * self.w[used]
-                step = e[:, None] * (sums[owner] - self.v[flat])
-                gv = np.stack([np.bincount(slot, step[:, k], len(used)) for k in range(step.shape[1])], axis=1) + l2 * self.v[used]
+                used, gw, gv = self.gradients(flat, owner, sums, error)
+                gw, gv = gw + l2 * self.w[used], gv + l2 * self.v[used]
                 state[1][used] += gw**2
                 state[2][used] += gv**2
                 self.w[used] -= rate * gw / (1e-8 + np.sqrt(state[1][used]))
@@ -133,13 +136,15 @@ class Model:
         self.known, self.machine, self.prior = {t: i for i, t in enumerate(terms)}, machine, prior
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int = 4096, least_g: float = 10.0, least_df: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int = 4096, least_g: float = 10.0, least_df: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from labelled documents that are not held out (see ``held_out``).
 
-    Rows of labels with a null doc_id or label are ignored; of repeated ones the largest label counts.  With
-    no example of one of the classes the model gives every text the share of toxic examples (0.5 without any).
+    Rows of labels with a null doc_id or label are ignored; of repeated ones the largest label counts.  Of
+    documents that repeat an id one is an example, the one whose text has the smallest hash.  Ties in the choice
+    of terms go by their hashes.  With no example of one of the classes, or with empty tables, the model gives
+    every text the share of toxic examples (0.5 without any).  Other columns are ignored whatever their names.
     """
-    spark = docs.sparkSession
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "toxicity")
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label")).where(~held_out())
     totals = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     if len(totals) < 2:
@@ -148,12 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int
     chosen = [marks.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     chosen = [tuple(r) for c in chosen for r in c.collect()]
     sample = spark.createDataFrame(chosen, marks.schema)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
-    n = {k: sum(label == k for _, label in chosen) for k in (0, 1)}
+    rows = docs.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    rows = saved(rows.select("label", "text"), path)  # at most per_class documents a class
+    n = {k: 0 for k in (0, 1)} | {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     counts = rows.mapInArrow(_terms, "term bigint, label int").groupBy("term").agg(F.sum((F.col("label") == 1).cast("double")).alias("a"), F.sum((F.col("label") == 0).cast("double")).alias("b")).where(F.col("a") + F.col("b") >= least_df)
-    # repeated documents can make more rows than ids
-    a, b = F.least("a", F.lit(float(n[1]))), F.least("b", F.lit(float(n[0])))
-    best = counts.withColumn("g", _g_test(a, b, n[1], n[0])).where(F.col("g") >= least_g).orderBy(F.desc("g"), "term").limit(features)
+    best = counts.withColumn("g", _g_test(F.col("a"), F.col("b"), n[1], n[0])).where(F.col("g") >= least_g).orderBy(F.desc("g"), "term").limit(features)
     terms = [r["term"] & 0xFFFFFFFFFFFFFFFF for r in best.select("term").collect()]
     known = {t: i for i, t in enumerate(terms)}
 
@@ -163,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([find.of(t) for t in as_bytes(batch.column(1))], pa.list_(pa.int32()))], ["label", "terms"])
 
     got = rows.mapInArrow(number, "label int, terms array<int>").collect()
+    remove(spark, path)
     got = sorted((r["label"], tuple(r["terms"])) for r in got)
     y = np.array([label for label, _ in got], float)
     weights = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
@@ -174,11 +180,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "_score") -> DataFrame:
-    """docs with a column of scores from 0 to 1; null text is scored as empty text."""
-    small_batches(docs.sparkSession)
+    """docs with one more column, the last: scores from 0 to 1.
+
+    It is named ``out``, with underscores added where docs has such a name.  Null text is scored as empty text,
+    texts of any length whole.  Equal texts have equal scores, repeated rows each their own; an empty table gives
+    an empty result.  Other columns pass through whatever their names.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-    schema = docs.withColumn(out, F.lit(0.0)).schema
+    at, names = docs.columns.index(text_col), [*docs.columns, *fresh(docs.columns, out)]
+    docs = numbered(docs)
 
     def run(batches):
         own = held.value
@@ -190,17 +200,19 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str
                 sets = [find.of(t) for t in as_bytes(batch.column(at))]
                 flat = np.concatenate([np.empty(0, np.int32), *sets]).astype(np.int64)
                 scores = own.machine.score(flat, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema).toDF(*names)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.7) -> DataFrame:
-    """docs without the documents that score ``reject`` or more; columns as in docs."""
-    return with_scores(docs, fit(docs, labels)).where(F.col("_score") < reject).select(*docs.columns)
+    """docs without the documents that score ``reject`` or more; columns as in docs, rules as in ``fit`` and ``with_scores``."""
+    scored = with_scores(docs, fit(docs, labels))
+    return scored.where(named(scored.columns[-1]) < reject).select(*(named(c) for c in docs.columns))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """Scores of the whole table ``documents``, learnt from ``labels``, by the rules of ``fit`` and ``with_scores``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = with_scores(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))

@@ -17,32 +17,41 @@ import struct
 import uuid
 import zipfile
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, keyed, saved, scratch
+from .common import arrow_schema, file_system, pieces, rows_of, saved, scratch
 
 RECORDS, INDEX = "records.warc.gz", "records.cdxj"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2000-01-01T00:00:00Z"
-_RECORD = "archive string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+_RECORD = "archive string, page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
-    """One WARC/1.1 record.  A revisit has the HTTP head alone; length and digest are those of the full payload."""
+def record_id(f: int, i: int) -> str:
+    """The name of the record of the row with this key."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'row:{f}:{i}')}>"
+
+
+def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: str, own: str, first: str | None, refers_to: str | None) -> bytes:
+    """One WARC/1.1 record named ``own``; a revisit if there is a ``first`` record of its payload.
+
+    A revisit has the HTTP head alone; length and digest are those of the full payload.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
+    block = http if first else http + payload
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if first else 'response'}", f"WARC-Record-ID: {own}", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        head.append(f"X-Page-ID: {quote(page_id, safe='')}")
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    if revisit:
-        head.append(f"WARC-Profile: {_PROFILE}")
+    if first:
+        head += [f"WARC-Refers-To: {first}", f"WARC-Profile: {_PROFILE}"]
         if refers_to is not None:
-            head.append(f"X-Refers-To-Page: {refers_to}")
+            head.append(f"X-Refers-To-Page: {quote(refers_to, safe='')}")
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -156,11 +165,11 @@ def _write(folder: str, roll: int):
         from pyspark import TaskContext
 
         part, writer, done = TaskContext.get().partitionId(), None, []
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first_id", "revisit")), strict=True):
-                page_id, url, html, digest, first, revisit = r
+        for batch in pieces(batches):
+            for page_id, url, html, digest, f, i, first_f, first_i, first_id in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "f", "i", "first_f", "first_i", "first_id")), strict=True):
                 writer = writer or ArchiveWriter(folder, part)
-                writer.add(page_id, record_bytes(page_id, url, (html or "").encode(), digest, first, revisit), "revisit" if revisit else "response")
+                first = None if first_f is None or (first_f, first_i) == (f, i) else record_id(first_f, first_i)
+                writer.add(page_id, record_bytes(page_id, url, (html or "").encode(), digest, record_id(f, i), first, first_id), "revisit" if first else "response")
                 if writer.at >= roll:
                     writer.close()
                     done.append((writer.name, len(writer.lines), writer.at))
@@ -179,14 +188,15 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, roll_bytes:
 
     Of rows with equal payloads of at least ``least`` bytes the one with the smallest page_id (null last, then
     the first of repeated rows) is a response and the others revisit it; all else is a response.  Null html is
-    empty.  Other columns are ignored.  An empty table gives an empty manifest.
+    empty; payloads of any length are whole.  Other columns are ignored whatever their names.  An empty table
+    gives an empty manifest.
     """
-    rows = keyed(pages.select("page_id", "url", "html")).withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+    rows = rows_of(pages, None, page_id="page_id", url="url", html="html").withColumn("html", F.col("html").cast("string"))
+    rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
     size = F.octet_length(F.coalesce("html", F.lit("")))
-    groups = rows.where(size >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row_id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = rows.where(size >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "f", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = rows.join(groups.select("digest", "first"), "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first.row_id").eqNullSafe(F.col("row_id"))
-    records = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "digest", F.col("first.page_id").cast("long").alias("first_id"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
+    records = joined.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "digest", "f", "i", F.col("first.f").alias("first_f"), F.col("first.i").alias("first_i"), F.col("first.page_id").cast("string").alias("first_id"))
     return saved(records.mapInArrow(_write(f"{folder}/archives", roll_bytes), "archive string, records bigint, bytes bigint"), f"{folder}/manifest")
 
 
@@ -203,8 +213,11 @@ def read_archive(folder: str, archive: str):
             yield *parse_record(zlib.decompress(reader.read(first + entry["offset"], entry["length"]), 31)), entry
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record of the archives in the manifest; payloads are checked against length and digest."""
+def read_archives(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
+    """A row per record of the archives in the manifest; payloads are checked against length and digest.
+
+    Page ids come back as ``id_type``.
+    """
     import hashlib
 
     manifest = spark.read.schema("archive string, records bigint, bytes bigint").parquet(f"{folder}/manifest")
@@ -217,17 +230,19 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     digest, n, kind = headers["WARC-Payload-Digest"].removeprefix("sha256:"), int(headers["X-Payload-Length"]), headers["WARC-Type"]
                     if kind == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
                         raise ValueError(f"{archive}: a payload does not fit its header")
-                    ids = [int(headers[h]) if h in headers else None for h in ("X-Page-ID", "X-Refers-To-Page")]
+                    ids = [unquote(headers[h]) if h in headers else None for h in ("X-Page-ID", "X-Refers-To-Page")]
                     rows.append((archive, ids[0], n, digest, kind, ids[1]))
                 if len(rows) != expected:
                     raise ValueError(f"{archive}: {len(rows)} records, not {expected}")
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) if i not in (1, 5) else pa.array(list(c), pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], ["archive", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), arrow_schema(_RECORD), strict=True)], schema=arrow_schema(_RECORD))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("archive", "records").repartition(parts).mapInArrow(run, _RECORD)
+    out = manifest.select("archive", "records").repartition(parts).mapInArrow(run, _RECORD)
+    return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table ``pages`` written and read back; the rules are those of ``write_archives``."""
     folder = scratch(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_archives(spark, folder).drop("archive")

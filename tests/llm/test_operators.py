@@ -71,6 +71,24 @@ def test_exact_dedup_of_made_rows_and_colliding_keys(spark):
     assert {(r.doc_id, r.keep_id) for r in got} == {(i, i % 7) for i in range(50)} and {r.chain for r in got} == set(range(1, 8))
 
 
+def test_owners_choose_in_their_buckets(spark, docs):
+    rows = common.rows_of(docs, None, doc_id="doc_id", text="text")
+    for capacity, depth, broadcast in ((16384, 16, 500_000), (1, 2, 0), (2, 3, 500_000)):
+        index = exact_dedup.ExtendibleIndex(rows, capacity, depth, exact_dedup.hash64, broadcast)
+        table = index.table.collect()
+        owners = {r.bucket: r.file for r in index.table.selectExpr("bucket", "_metadata.file_path AS file").collect()}
+        assert len({(r.bucket, r.file) for r in index.table.selectExpr("bucket", "_metadata.file_path AS file").collect()}) == len(owners)
+        assert len({r.text_sha256 for r in table}) == len(table) and sum(r.group_size for r in table) == len(ROWS)
+        assert max(Counter(r.bucket for r in table).values()) <= max(capacity, 1)  # also where two bits are far too few
+    plan = spark.read.parquet(f"{index.path}/buckets")
+    assert plan.columns == index.table.columns
+
+
+def test_exact_dedup_starts_no_python(spark, docs):
+    plan = exact_dedup.exact_duplicates(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_directory_doubles():
     directory, buckets = exact_dedup.split_buckets({0: 5, 1: 5, 2: 1, 7: 1}, 4, 3)
     assert len(directory) == 8 and sorted(d for _, d in buckets) == [1, 2, 3, 3]
@@ -102,8 +120,8 @@ def test_contamination(spark, docs, empty):
                     hit.update(range(k, k + size))
                     own |= windows[tuple(w[k : k + size])]
         expected.append((r[0], len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    for block in (8 << 20, 60):
-        got = decontamination.contamination(docs, bench, block_bytes=block).drop("hit_words").collect()
+    for block, words in ((8 << 20, 1 << 17), (60, 1 << 17), (100, 14), (8 << 20, 15)):
+        got = decontamination.contamination(docs, bench, block_bytes=block, segment_words=words).drop("hit_words").collect()
         same([tuple(r) for r in got], expected)
     clean = decontamination.decontaminate(docs, bench, length_col="n").collect()
     assert len(clean) == sum(not e[5] for e in expected)
@@ -357,9 +375,9 @@ def test_terms_equal_brute_force(spark, bound):
 def test_packing(spark, docs, empty):
     from tarn.llm.common import keyed
 
-    rows = keyed(docs)
+    rows = keyed(docs, "row_id")
     for length, filler in ((256, 5), (256, 1 << 30), (64, 2)):
-        pieces = packing.pack(rows, length=length, unit=4, filler=filler).collect()
+        pieces = packing.pack(rows, length=length, unit=4, filler=filler, key="row_id").collect()
         by_row, by_seq = defaultdict(list), defaultdict(list)
         for p in pieces:
             by_row[p.row_id].append(p)
@@ -381,6 +399,17 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty).collect() == []
 
 
+def test_padding_is_small(spark):
+    at = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test tables")
+    used = Counter()
+    for p in packing.pack(spark.read.parquet(at)).collect():
+        used[p.sequence_id] += p.length
+    padding = sum(4096 - n for n in used.values() if n & (n - 1))
+    assert max(used.values()) <= 4096 and padding <= 0.002 * sum(used.values())
+
+
 def test_column_generation_is_optimal():
     # 9 of size 5, 9 of size 3, 9 of size 2 in bins of 10: volume bound 9
     sizes, demand = np.array([2, 3, 5]), np.array([9, 9, 9])
@@ -421,7 +450,8 @@ def test_near_dedup(spark, docs, empty):
         groups[find(i)].append(rows[i][0])
     least = {g: min((i for i in ids if i is not None), default=None) for g, ids in groups.items()}
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((rows[i][0], len(sets[i]), least[find(i)]) for i in range(len(rows)))
-    assert sum(r.kept for r in got) == len(groups)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got) and sum(r.first for r in got) == len(groups)
+    assert sorted(r.doc_id for r in got if r.kept and not r.first) == [6]  # the id that two rows have
     assert max(len(g) for g in groups.values()) >= 20
     kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() < docs.count()
@@ -448,10 +478,47 @@ def test_near_dedup_blocks(spark, monkeypatch):
     want = {r[0]: g for r, g in zip(rows, group, strict=True)}
     assert 10 < len(set(group)) < 90
     made = spark.createDataFrame(rows, "doc_id long, text string")
-    for sizes in ({}, {"QUERY_BLOCK": 7, "DATA_BLOCK": 5, "QUERY_WEIGHT": 2000, "DATA_WEIGHT": 900}):
+    for sizes in ({}, {"QUERY_BLOCK": 7, "DATA_BLOCK": 5, "QUERY_WEIGHT": 2000, "DATA_WEIGHT": 900}, {"CROWD": 2}):
         for name, value in sizes.items():
             monkeypatch.setattr(near_dedup, name, value)
         assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(made).collect()} == want
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(made, exact=True).collect()} == want
+
+
+def test_prefix_lengths_lose_no_pair():
+    for n in range(1, 140):
+        for m in range(n, 190):
+            need = -(-75 * (n + m) // 175)
+            if need > n:
+                continue
+            classes = [int(np.searchsorted(near_dedup._CLASSES, x, "right")) - 1 for x in (n, m)]
+            for own, other in ((n, classes[1]), (m, classes[0])):
+                assert dict(near_dedup.prefix_lengths(own, 75))[other] >= own - need + 1
+
+
+def test_crowds_grow_with_the_texts(spark, monkeypatch):
+    """Members of one bucket that are alike by a template alone: rows that enter comparison grow about linearly."""
+    monkeypatch.setattr(near_dedup, "CROWD", 64)
+    core, met, blocks = " ".join(f"core{i}" for i in range(64)), [], near_dedup._blocks
+
+    def counted(*how):
+        out = blocks(*how)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_blocks", counted)
+    rows, most = {}, {}
+    for n in (700, 1400, 2800):
+        met.clear()
+        made = spark.range(n).selectExpr("id AS doc_id", f"concat('{core}', concat_ws(' ', transform(sequence(1, 40), k -> concat(' u', id, '_', k)))) AS text")
+        got = near_dedup.near_duplicates(made).collect()
+        assert all(r.kept and r.component_id == r.doc_id for r in got)
+        rows[n] = sum(met)
+        signs = [near_dedup.superminhash(near_dedup.shingles(f"{core} {' '.join(f'u{d}_{k}' for k in range(1, 41))}".encode())) for d in range(0, n, 20)]
+        keys = near_dedup.band_keys(np.stack([near_dedup.mix64(s).astype("<u4") for s in signs]), near_dedup.ROWS)
+        most[n] = max(np.unique(keys, return_counts=True)[1]) * 20
+    assert most[700] > 64  # there is such a bucket
+    assert rows[2800] <= 5 * rows[700] + 100
 
 
 def test_superminhash_estimates_and_equals_one_by_one():
@@ -462,12 +529,13 @@ def test_superminhash_estimates_and_equals_one_by_one():
         for e in elements:
             order = list(range(slots))
             for j in range(slots):
-                x = int(common.mix64(np.array([e], np.uint64) + near_dedup._STEP * np.uint64(j + 1))[0])
+                x = int(common.mix64(np.array([e], np.uint64) + near_dedup._STEP * np.array([j + 1], np.uint64))[0])
                 k = j + ((x & 0xFFFFFFFF) * (slots - j) >> 32)
                 order[j], order[k] = order[k], order[j]
                 best[order[j]] = min(best[order[j]], (j << 32) | (x >> 32))
         return best
 
+    # one hash at a time, as an array: scalars warn when they wrap
     for n in (1, 3, 20, 200):
         e = rng.integers(0, 1 << 63, n, dtype=np.uint64)
         assert near_dedup.superminhash(e, 16).tolist() == near_dedup.superminhash(e, 16, block=7).tolist() == one_by_one(e, 16)
@@ -509,6 +577,43 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.drop_toxic(made, labels).columns == made.columns
 
 
+def test_machine_equals_double_loop_and_numeric_gradient():
+    rng = np.random.default_rng(2)
+    machine = toxicity.FactorizationMachine(12, rank=3, seed=4)
+    machine.b, machine.w = 0.3, rng.normal(0, 1, 13)
+    sets = [np.array(x, np.int32) for x in ([0, 3, 5, 11], [], [2], [1, 2, 3, 4, 5, 6])]
+    labels, flat, owner = np.array([1.0, 0, 1, 0]), np.concatenate(sets).astype(np.int64), np.repeat(np.arange(4), [len(s) for s in sets])
+
+    def plain(own):
+        y = machine.b + sum(machine.w[i] for i in own)
+        return y + sum(machine.v[i] @ machine.v[j] for k, i in enumerate(own) for j in own[k + 1 :])
+
+    def loss():
+        return sum(math.log1p(math.exp(plain(own))) - label * plain(own) for own, label in zip(sets, labels, strict=True))
+
+    y, sums = machine.raw(flat, owner, 4)
+    assert np.allclose(y, [plain(own) for own in sets])
+    assert np.allclose(machine.score(flat, owner, 4), [1 / (1 + math.exp(-plain(own))) for own in sets])
+    used, gw, gv = machine.gradients(flat, owner, sums, machine.score(flat, owner, 4) - labels)
+    assert used.tolist() == sorted(set(flat.tolist()))
+    for k, i in enumerate(used.tolist()):
+        for array, at, got in [(machine.w, i, gw[k])] + [(machine.v, (i, r), gv[k, r]) for r in range(3)]:
+            before, ends = array[at], []
+            for step in (1e-6, -1e-6):
+                array[at] = before + step
+                ends.append(loss())
+            array[at] = before
+            assert abs((ends[0] - ends[1]) / 2e-6 - got) < 1e-5
+
+
+def test_repeated_documents_are_one_example(spark):
+    rows = [(i, "signal here" if i % 2 else "noise here") for i in range(300)]
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    one = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), marks)
+    many = toxicity.fit(spark.createDataFrame(rows + rows[1:2] * 400 + rows[3:4] * 7, "doc_id long, text string"), marks)
+    assert one.known == many.known and np.array_equal(one.machine.w, many.machine.w)
+
+
 def test_held_out_is_not_learnt(spark):
     rows = [(i, "signal" if i % 2 else "noise") for i in range(400)]
     made = spark.createDataFrame(rows, "doc_id long, text string")
@@ -519,7 +624,7 @@ def test_held_out_is_not_learnt(spark):
 
 
 def test_row_key_is_stable(docs, empty):
-    assert isinstance(common.keyed(docs).schema["row_id"].dataType, T.StructType)
-    first, again = ({(r.row_id, r.text) for r in common.keyed(docs).collect()} for _ in range(2))
+    assert isinstance(common.keyed(docs, "row_id").schema["row_id"].dataType, T.StructType)
+    first, again = ({(r.row_id, r.text) for r in common.keyed(docs, "row_id").collect()} for _ in range(2))
     assert first == again and len({k for k, _ in first}) == len(ROWS)
-    assert struct.calcsize("<I") == 4 and common.keyed(empty).count() == 0
+    assert struct.calcsize("<I") == 4 and common.keyed(empty, "row_id").count() == 0
