@@ -25,9 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return re.sub(r"^file:/+", "file:///", at).rstrip("/")
 
 
+#: Paths given out by ``scratch`` in this process and not removed yet.
+MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def saved(df: DataFrame, path: str, **options: str) -> DataFrame:
@@ -41,3 +46,5 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in MADE:
+            MADE.remove(path)
