@@ -96,16 +96,23 @@ def rows_of(docs: DataFrame, key: str | None, **columns: str) -> DataFrame:
     return (picked if key else keyed(picked, "key")).select(*columns, F.col("key.f").alias("f"), F.col("key.i").alias("i"))
 
 
+def small_side(keys: DataFrame, most: int = 500_000) -> DataFrame:
+    """``keys``, a written table of fixed-size rows, as the side of a join: broadcast if it has at most ``most`` rows."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def without(docs: DataFrame, gone_of, **columns: str) -> DataFrame:
     """docs without some rows, each found by its key whatever its columns are.
 
     ``gone_of(small, key)`` gets the given columns under the given names, and the name of their key; it returns
-    the keys (f, i) of the rows that go.
+    the keys (f, i) of the rows that go.  Those are written; the documents themselves never leave the JVM, and
+    are shuffled only where the keys are too many to broadcast.
     """
-    (key,) = fresh(docs.columns, "_row")
-    rows = keyed(docs, key)
-    gone = gone_of(rows.select(*(named(c).alias(n) for n, c in columns.items()), F.col(key).alias("key")), "key")
-    return rows.join(gone.select(F.struct("f", "i").alias(key)), key, "left_anti").select(*(named(c) for c in docs.columns))
+    rows = keyed(numbered(docs), "row")
+    small = rows.select(*(F.col(f"c{docs.columns.index(c)}").alias(n) for n, c in columns.items()), F.col("row").alias("key"))
+    with small_batches(docs.sparkSession):
+        gone = saved(gone_of(small, "key").select(F.struct("f", "i").alias("row")), scratch(docs.sparkSession, "gone"))
+    return rows.join(small_side(gone), "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 def as_bytes(col: pa.Array) -> list[bytes]:
@@ -121,8 +128,22 @@ def give_back() -> None:
         trim(0)
 
 
-def pieces(batches, rows: int = 512):
+#: What operators remember in a worker between tasks: owner -> how to forget it.
+FORGET: dict[str, list] = {}
+
+
+def claim(owner: str | None = None) -> None:
+    """This worker now works for ``owner``: what others remembered here goes, workers are kept for all stages."""
+    for name, ways in FORGET.items():
+        if name != owner:
+            for forget in ways:
+                forget()
+    give_back()
+
+
+def pieces(batches, rows: int = 512, owner: str | None = None):
     """The batches in slices of at most ``rows`` rows, so that a task holds few texts as Python objects at once."""
+    claim(owner)
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)

@@ -22,11 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, alnum_words, as_bytes, fresh, keyed, mix64, named, numbered, pieces, saved, scratch
+from .common import ALNUM_TABLE, alnum_words, as_bytes, keyed, mix64, named, numbered, pieces, saved, scratch, small_batches, small_side
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_MARKS = ("_n_words", "_hit_words", "_hit_items")
-_HITS = "array<int>", "array<string>"
 
 
 class Windows:
@@ -112,82 +110,87 @@ def _segments(width: int, words: int):
     return run
 
 
+_FOUND = "f bigint, i bigint, n_words bigint, hits array<int>, items array<string>"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["f", "i", "n_words", "hits", "items"])
+
+
 def _find(windows):
-    """(f, i, hit words, items) of the documents with hits."""
+    """The documents with hits: key, number of words, hit words, items."""
 
     def run(batches):
         found = windows.value
         for batch in pieces(batches):
             rows = []
             for f, i, text in zip(batch.column("f").to_pylist(), batch.column("i").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                hit, owners = found.find(alnum_words(text))
+                words = alnum_words(text)
+                hit, owners = found.find(words)
                 if owners:
-                    rows.append((f, i, _spans(hit), sorted(owners)))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["f", "i", "hits", "items"])
+                    rows.append((f, i, len(words), _spans(hit), sorted(owners)))
+            yield _found(rows)
 
     return run
 
 
-def _mark(windows, text_at: int, schema: pa.Schema):
-    """Documents, with what each block found if there are several -> documents with their marks."""
+def _merge(batches):
+    """What several blocks found in a document, as one."""
+    for batch in batches:
+        rows = []
+        for f, i, n, spans, names in zip(*(batch.column(c).to_pylist() for c in ("f", "i", "n_words", "hits", "items")), strict=True):
+            hit = np.zeros(n, bool)
+            for own in spans:
+                for a, b in zip(own[::2], own[1::2], strict=True):
+                    hit[a:b] = True
+            rows.append((f, i, n, _spans(hit), sorted(set().union(*names))))
+        yield _found(rows)
+
+
+def _mark(windows, schema: pa.Schema):
+    """(doc_id, text) -> doc_id, words, hit words, items."""
 
     def run(batches):
-        n = len(schema) - 3
         for batch in pieces(batches):
-            before = [c.to_pylist() for c in batch.columns[n:]] or [[None] * batch.num_rows] * 2
             counts, hits, items = [], [], []
-            for text, spans, names in zip(as_bytes(batch.column(text_at)), *before, strict=True):
+            for text in as_bytes(batch.column("text")):
                 words = alnum_words(text)
-                hit, owners = windows.value.find(words) if windows else (np.zeros(len(words), bool), set())
-                for own in spans or ():
-                    for a, b in zip(own[::2], own[1::2], strict=True):
-                        hit[a:b] = True
+                hit, owners = windows.value.find(words) if windows else (np.zeros(len(words), bool), ())
                 counts.append(len(words))
                 hits.append(_spans(hit))
-                items.append(sorted(owners.union(*(names or ()))))
-            rest = [c.cast(f.type) for c, f in zip(batch.columns[:n], schema, strict=False)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+                items.append(sorted(owners))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
     return run
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13, block_bytes: int = 8 << 20, segment_words: int = 1 << 17) -> DataFrame:
-    """docs with three more columns, the last: words, hit words (flat intervals), items hit (sorted ids as strings).
-
-    They are named _n_words, _hit_words and _hit_items, with underscores added where docs has such a name.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
+class Benchmark:
+    """The benchmark's windows, in blocks that can be broadcast."""
 
-    spark, outside, at = docs.sparkSession, [*docs.columns, *fresh(docs.columns, *_MARKS)], docs.columns.index(text_col)
-    docs, marks = numbered(docs), ("n_words", "hits", "items")
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("t")).where("t IS NOT NULL")
-    bench = bench.mapInArrow(_segments(width, segment_words), "item string, t binary")
-    total = bench.agg(F.sum(F.length("t"))).head()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    out = docs.withColumns(dict(zip(marks, (F.lit(0).cast("long"), *(F.array().cast(t) for t in _HITS)), strict=True))).schema
-
-    def windows(b: int):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b)
-        return spark.sparkContext.broadcast(Windows([(r["item"], bytes(r["t"])) for r in part.collect()], width))
-
-    if blocks == 1:
-        return docs.mapInArrow(_mark(windows(0), at, to_arrow_schema(out)), out).toDF(*outside)
-    rows, path = keyed(docs, "row"), scratch(spark, "decontamination")
-    texts = rows.select("row.f", "row.i", F.col(f"c{at}").cast("string").alias("text"))
-    for b in range(blocks):
-        held = windows(b)
-        texts.mapInArrow(_find(held), f"f bigint, i bigint, hits {_HITS[0]}, items {_HITS[1]}").write.mode("append").parquet(path)
-        held.unpersist()
-    found = spark.read.schema(f"f bigint, i bigint, hits {_HITS[0]}, items {_HITS[1]}").parquet(path)
-    found = saved(found.groupBy("f", "i").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")), f"{path}-all")
-    joined = rows.join(found.select(F.struct("f", "i").alias("row"), "hits", "items"), "row", "left").select(*docs.columns, "hits", "items")
-    return joined.mapInArrow(_mark(None, at, to_arrow_schema(out)), out).toDF(*outside)
+    def __init__(self, benchmark: DataFrame, width: int, block_bytes: int, segment_words: int):
+        items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("t")).where("t IS NOT NULL")
+        self.width, self.spark = width, benchmark.sparkSession
+        self.segments = items.mapInArrow(_segments(width, segment_words), "item string, t binary")
+        self.blocks = max(1, -(-(self.segments.agg(F.sum(F.length("t"))).head()[0] or 0) // block_bytes))
 
+    def windows(self, b: int):
+        part = self.segments if self.blocks == 1 else self.segments.where(F.pmod(F.xxhash64("item", "t"), F.lit(self.blocks)) == b)
+        return self.spark.sparkContext.broadcast(Windows([(r["item"], bytes(r["t"])) for r in part.collect()], self.width))
 
-def _n_hit(hits: str):
-    signed = F.transform(named(hits), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
-    return F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x)
+    def found(self, rows: DataFrame) -> DataFrame:
+        """A row per document with hits (f, i, n_words, hits, items), written; rows: f, i, text."""
+        path = scratch(self.spark, "decontamination")
+        with small_batches(self.spark):
+            for b in range(self.blocks):
+                held = self.windows(b)
+                rows.select("f", "i", "text").mapInArrow(_find(held), _FOUND).write.mode("append").parquet(path)
+                held.unpersist()
+        found = self.spark.read.schema(_FOUND).parquet(path)
+        if self.blocks == 1:
+            return found
+        found = found.groupBy("f", "i").agg(F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
+        return saved(found.mapInArrow(_merge, _FOUND), f"{path}-all")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, share: int = 20, block_bytes: int = 8 << 20, segment_words: int = 1 << 17) -> DataFrame:
@@ -198,11 +201,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     id counts under the empty string; rows with one item_id are one item.  Repeated documents give a row each;
     an empty table gives none, an empty benchmark no hits.  Other columns are ignored whatever their names.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    bench = Benchmark(benchmark, width, block_bytes, segment_words)
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
-    out = marked(rows, benchmark, "text", width, block_bytes, segment_words).withColumn("n_hit", _n_hit("_hit_words"))
-    sha = F.sha2(F.concat_ws(",", "_hit_items").cast("binary"), 256).alias("items_sha256")
-    dirty = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("_n_words"))
-    return out.select("doc_id", F.col("_n_words").alias("n_words"), "n_hit", F.size("_hit_items").cast("long").alias("n_items"), sha, dirty.alias("contaminated"), F.col("_hit_words").alias("hit_words"))
+    if bench.blocks == 1:
+        schema = rows.select("doc_id").withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")}).schema
+        out = rows.mapInArrow(_mark(bench.windows(0), to_arrow_schema(schema)), schema)
+    else:
+        rows = keyed(rows, "row").select("doc_id", "row.f", "row.i", "text")
+        found = bench.found(rows).drop("n_words")
+        schema = rows.select("doc_id", "f", "i").withColumns({"n_words": F.lit(0).cast("long"), "none": F.array().cast("array<int>"), "nothing": F.array().cast("array<string>")}).schema
+        words = rows.select("doc_id", "f", "i", "text").mapInArrow(_mark(None, to_arrow_schema(schema)), schema)
+        out = words.join(found, ["f", "i"], "left").select("doc_id", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hits", "array<int>"), ("items", "array<string>"))))
+    out = out.withColumn("n_hit", _n_hit("hits"))
+    sha = F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256")
+    dirty = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha, dirty.alias("contaminated"), F.col("hits").alias("hit_words"))
+
+
+def _n_hit(hits: str):
+    signed = F.transform(named(hits), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    return F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
 def cut_words(text: bytes, spans: list[int]) -> bytes:
@@ -215,35 +235,37 @@ def cut_words(text: bytes, spans: list[int]) -> bytes:
     return b"".join(out) + text[last:]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13, share: int = 20, block_bytes: int = 8 << 20, length_col: str | None = None) -> DataFrame:
-    """docs without contaminated documents, and without the hit spans of the others; columns as in docs.
-
-    All rules of ``contamination`` hold; null text stays null.  Where a text changes, ``length_col`` (if docs has
-    it) gets its new number of code points; other columns pass through whatever their names.
-    """
-    out = marked(docs, benchmark, text_col, width, block_bytes)
-    words, hits, _ = out.columns[-3:]
-    n_hit = _n_hit(hits)
-    out = out.where((n_hit == 0) | (share * n_hit < named(words)))
-    at = docs.columns.index(text_col)
-    counted = docs.columns.index(length_col) if length_col in docs.columns else None
+def _cut(text_at: int, counted: int | None):
+    """Documents, the last column their hit words -> documents with cut texts."""
 
     def run(batches):
         for batch in pieces(batches):
-            columns, texts = batch.columns[:-1], batch.column(at).to_pylist()
-            sizes = columns[counted].to_pylist() if counted is not None else None
-            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if spans:
-                    texts[i] = cut_words(texts[i].encode(), spans).decode()
-                    if sizes is not None:
-                        sizes[i] = len(texts[i])
-            columns[at] = pa.array(texts, pa.string())
-            if sizes is not None:
-                columns[counted] = pa.array(sizes, columns[counted].type)
+            columns, texts = batch.columns[:-1], batch.column(text_at).to_pylist()
+            texts = [cut_words(t.encode(), spans).decode() for t, spans in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            columns[text_at] = pa.array(texts, pa.string())
+            if counted is not None:
+                columns[counted] = pa.array([len(t) for t in texts], columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    kept = numbered(out.select(*(named(c) for c in docs.columns), named(hits)))
-    return kept.mapInArrow(run, kept.drop(kept.columns[-1]).schema).toDF(*docs.columns)
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13, share: int = 20, block_bytes: int = 8 << 20, length_col: str | None = None, segment_words: int = 1 << 17) -> DataFrame:
+    """docs without contaminated documents, and without the hit spans of the others; columns as in docs.
+
+    All rules of ``contamination`` hold; null text stays null.  Where a text changes, ``length_col`` (if docs has
+    it) gets its new number of code points; other columns pass through whatever their names.  Only the texts
+    with hits come back from Python; documents are shuffled only where those are too many to broadcast.
+    """
+    names, at = docs.columns, docs.columns.index(text_col)
+    counted = names.index(length_col) if length_col in names else None
+    rows = keyed(numbered(docs), "row").withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+    found = Benchmark(benchmark, width, block_bytes, segment_words).found(rows.select("row.f", "row.i", F.col(f"c{at}").alias("text")))
+    dirty = share * _n_hit("hits") >= F.col("n_words")
+    found = saved(found.select(F.struct("f", "i").alias("row"), dirty.alias("dirty"), F.when(~dirty, F.col("hits")).alias("hits")), scratch(docs.sparkSession, "hits"))
+    clean = rows.join(small_side(found.select("row")), "row", "left_anti").drop("row")
+    cut = rows.join(small_side(found.where("NOT dirty").select("row", "hits")), "row").drop("row")
+    return clean.unionByName(cut.mapInArrow(_cut(at, counted), clean.schema)).toDF(*names)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 
+from .common import FORGET
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _SIGNS = "¡-©«¬®-±´¶-¸»¿×÷‐-‧‰-⁞€"
 _OTHER = re.compile(rf"[^\t\n\r\x20-\x7E{_LETTERS}{_SIGNS}]")
@@ -111,10 +113,12 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+FORGET["encoder"] = [_ENCODERS.clear]
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
+    """One per worker process: the last file's."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

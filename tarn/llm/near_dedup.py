@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, as_bytes, give_back, mix64, pieces, remove, rows_of, saved, scratch, small_batches, space_words, without
+from .common import FORGET, WordIds, as_bytes, give_back, mix64, pieces, remove, rows_of, saved, scratch, small_batches, space_words, without
 
 SLOTS, ROWS, SCREEN = 112, 4, 0.58
 #: Members in a block of signatures; shingles in a block of sets, where a member counts ROW_WEIGHT more.
@@ -39,6 +39,7 @@ CROWD = 1024
 QUERY_WEIGHT, DATA_WEIGHT, ROW_WEIGHT = 1_000_000, 500_000, 64
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1B54A32D192ED03)
 _WORDS = WordIds()
+FORGET["words"] = [_WORDS.clear]
 #: Sizes at which a class of set sizes starts, five per cent apart.
 _CLASSES = np.array([1], np.int64)
 while _CLASSES[-1] < 1 << 40:
@@ -100,7 +101,7 @@ def _profile(width: int, slots: int):
     def run(batches):
         from xxhash import xxh3_128_digest
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, owner="words"):
             sizes, keys, signs = [], [], []
             for text in as_bytes(batch.column("text")):
                 words = space_words(text)
@@ -109,8 +110,6 @@ def _profile(width: int, slots: int):
                 keys.append(xxh3_128_digest(b" ".join(words)))
                 signs.append(mix64(superminhash(found, slots)).astype("<u4").tobytes() if len(found) else b"")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("f"), batch.column("i"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "f", "i", "n", "seq", "sign"])
-        _WORDS.clear()  # the worker is kept for later stages
-        give_back()
 
     return run
 
@@ -149,7 +148,7 @@ def _agree(screen: float):
 
 def _sets(width: int):
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, owner="words"):
             found = [shingles(x, width).astype("<u8").tobytes() for x in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
 
@@ -158,7 +157,7 @@ def _sets(width: int):
 
 def _tokens(batches):
     """A row per shingle of each set."""
-    for batch in pieces(batches, 64):
+    for batch in pieces(batches, 64, "words"):
         sets = batch.column("shingles").to_pylist()
         sizes = [len(x) // 8 for x in sets]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.frombuffer(b"".join(sets), "<i8"))], ["node", "token"])
@@ -182,7 +181,7 @@ def _prefixes(percent: int):
     """Sets' shared shingles, rarest first -> a key for each shingle that a set shows to a class."""
 
     def run(batches):
-        for batch in pieces(batches, 64):
+        for batch in pieces(batches, 64, "words"):
             nodes, keys = [], [np.empty(0, np.uint64)]
             for node, n, shared in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("shared").to_pylist(), strict=True):
                 tokens = np.array(shared, np.int64).view(np.uint64)
@@ -211,7 +210,7 @@ def prefix_keys(sets: DataFrame, percent: int, path: str, broadcast_tokens: int
 def _confirm(width: int, percent: int):
     def run(batches):
         last, own = None, None
-        for batch in pieces(batches):
+        for batch in pieces(batches, owner="words"):
             keep = []
             for a, text_a, text_b in zip(batch.column("a").to_pylist(), as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b")), strict=True):
                 if a != last:

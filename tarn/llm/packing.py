@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, give_back, named, rows_of, saved, scratch, small_batches
+from .common import arrow_schema, claim, give_back, named, rows_of, saved, scratch, small_batches
 from .encoding import default_path, encoder
 
 _TOKENS = "doc_id {id}, f bigint, i bigint, part int, n bigint, crcs array<bigint>, n_full bigint, full_before bigint, rest bigint, rest_crc bigint, class int, rank bigint, fill_before bigint, ids binary"
@@ -126,6 +126,7 @@ def _encode(path: str, end_id: int, length: int, unit: int, filler: int):
     def run(batches):
         from pyspark import TaskContext
 
+        claim("encoder")
         part, fulls, fills, ranks, at = TaskContext.get().partitionId(), 0, 0, {}, 0
         for batch in batches:
             for b in range(0, batch.num_rows, 64):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named
+from .common import named, pieces
 from .encoding import default_path, encoder
 
 RULES = ("majority", "start")
@@ -59,7 +59,7 @@ def owners(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str)
 def _attribute(path: str, fields: tuple[str, ...], lines_of: str, joiner: bytes, rule: str):
     def run(batches):
         sizes = token_bytes(path)
-        for batch in batches:
+        for batch in pieces(batches, 512, "encoder"):
             columns = [[(x or "").encode() for x in batch.column(f"_{k}").to_pylist()] for k in range(len(fields))]
             texts = [joiner.join(parts) for parts in zip(*columns, strict=True)]
             counts: list[list[int]] = [[] for _ in fields]

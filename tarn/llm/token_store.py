@@ -97,7 +97,7 @@ def _encode(path: str, end_id: int, bits: int, remember: int):
         from pyspark import TaskContext
 
         part, place, seen = TaskContext.get().partitionId(), 0, set()
-        for batch in pieces(batches, 256):
+        for batch in pieces(batches, 256, "encoder"):
             schema, rows = arrow_schema(_OBJECT, doc_id=batch.schema.field(0).type), []
             for doc_id, raw in zip(batch.column(0).to_pylist(), encoder(path).ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype("<u4")

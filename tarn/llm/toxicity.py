@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, as_bytes, fresh, named, numbered, pieces, remove, saved, scratch, text_or_empty
+from .common import alnum_words, as_bytes, fresh, give_back, named, numbered, pieces, remove, saved, scratch, small_batches, text_or_empty, without
 
 PREFIXES = (4, 5, 6)
 
@@ -50,7 +50,7 @@ class _Numbers(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         out = np.array([self.known[t] for t in word_terms(word) if t in self.known], "<i4").tobytes()
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = out
         return out
@@ -116,12 +116,12 @@ def held_out(doc_id: str = "doc_id"):
 
 def _terms(batches):
     known = _TermBytes()
-    for batch in batches:
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
-            found = [np.unique(np.frombuffer(b"".join(map(known.__getitem__, set(alnum_words(t)))), "<i8")) for t in as_bytes(part.column(1))]
-            label = np.repeat(np.array(part.column(0).to_pylist(), np.int32), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(label, pa.int32())], ["term", "label"])
+    for part in pieces(batches, 64):
+        found = [np.unique(np.frombuffer(b"".join(map(known.__getitem__, set(alnum_words(t)))), "<i8")) for t in as_bytes(part.column(1))]
+        label = np.repeat(np.array(part.column(0).to_pylist(), np.int32), [len(f) for f in found])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(label, pa.int32())], ["term", "label"])
+    known.clear()
+    give_back()
 
 
 def _g_test(a, b, na: int, nb: int):
@@ -155,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, features: int
     sample = spark.createDataFrame(chosen, marks.schema)
     rows = docs.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
     rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
-    rows = saved(rows.select("label", "text"), path)  # at most per_class documents a class
+    with small_batches(spark):
+        rows = saved(rows.select("label", "text"), path)  # at most per_class documents a class
     n = {k: 0 for k in (0, 1)} | {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     counts = rows.mapInArrow(_terms, "term bigint, label int").groupBy("term").agg(F.sum((F.col("label") == 1).cast("double")).alias("a"), F.sum((F.col("label") == 0).cast("double")).alias("b")).where(F.col("a") + F.col("b") >= least_df)
     best = counts.withColumn("g", _g_test(F.col("a"), F.col("b"), n[1], n[0])).where(F.col("g") >= least_g).orderBy(F.desc("g"), "term").limit(features)
@@ -201,14 +202,16 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str
                 flat = np.concatenate([np.empty(0, np.int32), *sets]).astype(np.int64)
                 scores = own.machine.score(flat, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+        find.clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema).toDF(*names)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.7) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that score ``reject`` or more; columns as in docs, rules as in ``fit`` and ``with_scores``."""
-    scored = with_scores(docs, fit(docs, labels))
-    return scored.where(named(scored.columns[-1]) < reject).select(*(named(c) for c in docs.columns))
+    model = fit(docs, labels, id_col=id_col, text_col=text_col)
+    return without(docs, lambda small, _: with_scores(small, model).where(F.col("_score") >= reject).select("key.*"), text=text_col)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
