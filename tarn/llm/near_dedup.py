@@ -7,8 +7,8 @@
    Edges are first screened by signature (agreement under ``SCREEN`` is over four standard deviations below
    0.75), then confirmed on the full shingle sets.  Confirmed links are merged.
 4. A bucket that still spans several groups is resolved in full, so no link is lost to the choice of centres.
-   Up to ``CROWD`` members, those outside its largest group are compared with all members of other groups.  In
-   larger ones members meet only under a second key they share: a shingle among the rarest of both, as many as
+   Up to ``CROWD`` members outside its largest group are compared with all members of other groups.  Where there
+   are more, members meet only under a second key they share: a shingle among the rarest of both, as many as
    two sets of their sizes need to have enough in common (prefix filter, by the document frequency of shingles
    in the crowd).  Texts that are alike by a common template alone share none, so the rows grow with the texts
    and not with the square of the bucket.  Both kinds are cut into blocks of bounded size.  A first pass over
@@ -35,7 +35,8 @@ from .common import FORGET, WordIds, as_bytes, give_back, mix64, pieces, remove,
 SLOTS, ROWS, SCREEN = 112, 4, 0.58
 #: Members in a block of signatures; shingles in a block of sets, where a member counts ROW_WEIGHT more.
 QUERY_BLOCK, DATA_BLOCK = 4096, 1024
-CROWD = 1024
+#: Members outside a bucket's largest group, in one block of queries at most: then its rows stay under six a member.
+CROWD = QUERY_BLOCK
 QUERY_WEIGHT, DATA_WEIGHT, ROW_WEIGHT = 1_000_000, 500_000, 64
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1B54A32D192ED03)
 _WORDS = WordIds()
@@ -409,8 +410,8 @@ def _labelled(docs: DataFrame, path: str, kind: str, width: int, percent: int, s
     signs = nodes.select("node", "sign")
 
     bands = signs.mapInArrow(_bands(rows), "band bigint, node bigint")
-    shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = saved(bands.join(shared.select("band", "lo"), "band"), f"{path}/members")
+    shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    members = saved(bands.join(shared.select("band", "lo", "m"), "band"), f"{path}/members")
     edges = members.select(F.col("lo").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
 
     def texts_of(needed: DataFrame, name: str) -> DataFrame:
@@ -434,7 +435,8 @@ def _labelled(docs: DataFrame, path: str, kind: str, width: int, percent: int, s
 
     # What is still apart, in full: the members that may have links by signature, then their sets.
     within = grouped(members.select("band", "node"))
-    large = within.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(f"lo < hi AND members > {CROWD}")
+    sizes = grouped(members.where(F.col("m") > CROWD).select("band", "node")).groupBy("band", "component").count()
+    large = sizes.groupBy("band").agg((F.sum("count") - F.max("count")).alias("outside")).where(F.col("outside") > CROWD)
     large = saved(large.select("band"), f"{path}/crowds")
     if exact:
         suspects = prefix_keys(sets_of(nodes.select("node"), "all").join(nodes.select("node", "n"), "node"), percent, path)
