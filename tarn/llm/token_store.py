@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,17 +72,21 @@ def cuts(ids: np.ndarray, bits: int = 10) -> list[int]:
     return ends
 
 
-def packed(ids: np.ndarray) -> bytes:
+@cache
+def _zstd():
+    """(compressor, decompressor) of this process."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def packed(ids: np.ndarray) -> bytes:
     small = bool(len(ids)) and int(ids.max()) < 1 << 16
-    return (b"\2" if small else b"\4") + zstandard.compress(ids.astype("<u2" if small else "<u4").tobytes(), 1)
+    return (b"\2" if small else b"\4") + _zstd()[0].compress(ids.astype("<u2" if small else "<u4").tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.decompress(data[1:]), "<u2" if data[:1] == b"\2" else "<u4").astype("<u4")
+    return np.frombuffer(_zstd()[1].decompress(data[1:]), "<u2" if data[:1] == b"\2" else "<u4").astype("<u4")
 
 
 def merkle(hashes: list[bytes]) -> bytes:
