@@ -150,6 +150,13 @@ def _shard_roots(index: DataFrame, fan: int = 1024) -> DataFrame:
             return level.drop("place")
 
 
+def _shard_count(recipes: DataFrame) -> int:
+    """Shards of 2 MB of recipes, no more than shuffle partitions until each has 128 MB: small files cost, too."""
+    size = recipes.agg(F.sum(F.octet_length("data") + 64)).first()[0] or 0
+    most = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(-(-size // (2 << 20)), most), -(-size // (128 << 20)))
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, bits: int = 10, remember: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode docs into a store at ``path``.
 
@@ -163,8 +170,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     with small_batches(spark):
         rows.groupBy("kind", "key").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("data").alias("data")).write.partitionBy("kind").parquet(f"{path}/objects")
         recipes = objects(spark, path, kind).where("kind = 1").drop("kind")
-        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = recipes.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
+        ordered = recipes.repartitionByRange(_shard_count(recipes), F.col("doc_id").asc_nulls_first(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
         index = ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(_index, f"shard int, doc_id {kind}, key binary, n bigint, local_start bigint, root binary")
         _shard_roots(saved(index, f"{path}/index")).write.parquet(f"{path}/manifest")
     return path
