@@ -110,7 +110,7 @@ def _encode(path: str, end_id: int, bits: int, remember: int):
                 for end in cuts(ids, bits):
                     chunk = ids[last:end]
                     key = hashlib.sha256(chunk.tobytes()).digest()
-                    recipe.append(key + struct.pack("<I", end - last))
+                    recipe.append(key + struct.pack(">I", end - last))
                     if key not in seen:
                         if len(seen) < remember:
                             seen.add(key)
@@ -197,17 +197,12 @@ def _check_chunks(batches):
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(crcs, pa.int64())], ["chunk", "crc"])
 
 
-def _spread(batches):
-    for batch in batches:
-        keys, docs, places, chunks, sizes = [], [], [], [], []
-        for key, doc_id, data in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "data")), strict=True):
-            for i in range(0, len(data), 36):
-                keys.append(key)
-                docs.append(doc_id)
-                places.append(i // 36)
-                chunks.append(data[i : i + 32])
-                sizes.append(struct.unpack_from("<I", data, i + 32)[0])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, batch.schema.field("doc_id").type), pa.array(places, pa.int32()), pa.array(chunks, pa.binary()), pa.array(sizes, pa.int64())], ["key", "doc_id", "place", "chunk", "size"])
+def _parts(recipes: DataFrame) -> DataFrame:
+    """A row per chunk of each recipe: key, doc_id, place, chunk, size."""
+    at = "int(i) * 36"
+    size = f"bigint(conv(hex(substring(data, {at} + 33, 4)), 16, 10))"
+    split = f"transform(sequence(0, octet_length(data) div 36 - 1), i -> struct(int(i) AS place, substring(data, {at} + 1, 32) AS chunk, {size} AS size))"
+    return recipes.where("octet_length(data) >= 36").select("key", "doc_id", F.inline(F.expr(split)))
 
 
 def _join_crcs(batches):
@@ -232,9 +227,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     if not verify_manifest(spark, path):
         raise ValueError(f"the index differs from the manifest: {path}")
     all_objects = objects(spark, path)
-    kind = dict(all_objects.dtypes)["doc_id"]
     chunks = all_objects.where("kind = 0").select("key", "n", "data").mapInArrow(_check_chunks, "chunk binary, crc bigint")
-    parts = all_objects.where("kind = 1").select("key", "doc_id", "data").mapInArrow(_spread, f"key binary, doc_id {kind}, place int, chunk binary, size bigint")
+    parts = _parts(all_objects.where("kind = 1"))
     per_doc = parts.join(chunks, "chunk").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "size", "crc", "chunk"))).alias("parts"))
     made = per_doc.mapInArrow(_join_crcs, "key binary, n_tokens bigint, ids_crc32 bigint, made_root binary")
     index = index_of(spark, path)
@@ -256,8 +250,7 @@ def verify_manifest(spark: SparkSession, path: str) -> bool:
 def reconstruct(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """(doc_id, ids) of the asked documents, from recipes and chunks."""
     kind = dict(objects(spark, path).dtypes)["doc_id"]
-    wanted = objects(spark, path).where("kind = 1").where(F.col("doc_id").isin(doc_ids)).select("key", "doc_id", "data")
-    parts = wanted.mapInArrow(_spread, f"key binary, doc_id {kind}, place int, chunk binary, size bigint")
+    parts = _parts(objects(spark, path, kind).where("kind = 1").where(F.col("doc_id").isin(doc_ids)))
     chunks = objects(spark, path).where("kind = 0").select(F.col("key").alias("chunk"), "data")
     whole = parts.join(chunks, "chunk").groupBy("key", "doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "data"))).alias("parts"))
 
