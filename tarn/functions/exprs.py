@@ -301,6 +301,21 @@ def fitted(exact: Column) -> Value:
     return Value(F.when(inside, exact.cast("bigint")).otherwise(overflow(exact.isNotNull())), "INT")
 
 
+def product(a: Column, b: Column) -> Column:
+    """The product of two numbers of rows."""
+    return F.coalesce(F.try_multiply(a, b), overflow(a.isNotNull() & b.isNotNull()))
+
+
+def rows(number: Column) -> Value:
+    """The count of rows behind the ``number`` that each row stands for: an INT in any mode, 0 without rows."""
+    before = WIDE.set(False)
+    try:
+        count = total(number, 0, HIGH)
+    finally:
+        WIDE.reset(before)
+    return Value(F.coalesce(count.col, F.lit(0).cast("bigint")), "INT", 0, HIGH)
+
+
 def round_exact(d: Column, n: int) -> Column:
     """Half away from zero on the exact binary value, for 0 <= n <= 14.
 

@@ -96,6 +96,37 @@ class Lowering:
             right = right.hint("shuffle_hash")
         return left.join(right, on, "left" if j.left else "inner")
 
+    def counted(self, s: S.Select, left: list[Field], right: list[Field]) -> list[Field] | None:
+        """The fields in use, if the statement only counts the rows of one inner join on equal columns; else None.
+
+        Such a join can meet distinct rows that know their number.  Functions and LIKE may tell equal values apart
+        (0.0 and -0.0), so they leave the rows as they are.
+        """
+        scope = Scope(left + right)
+
+        def equal(e: S.Node) -> bool:
+            if isinstance(e, S.Binary) and e.op == "and":
+                return equal(e.left) and equal(e.right)
+            if not (isinstance(e, S.Binary) and e.op == "=" and isinstance(e.left, S.Column) and isinstance(e.right, S.Column)):
+                return False
+            return (scope.find(e.left) in left) != (scope.find(e.right) in left)
+
+        if self.join_mode != "auto" or len(s.joins) != 1 or s.joins[0].left or not equal(s.joins[0].on):
+            return None
+        whole = [s.joins[0].on, *(i.expr for i in s.items), *s.group, *(e for e in (s.where, s.having) if e is not None)]
+        nodes = [n for e in whole for n in S.walk(e)]
+        if any(isinstance(n, S.Call | S.Like) or isinstance(n, S.Aggregate) and n.name != "count" for n in nodes):
+            return None
+        used = list(dict.fromkeys(scope.find(n) for n in nodes if isinstance(n, S.Column)))
+        return None if any(f.kind == "OTHER" for f in used) else used
+
+    def merged(self, frame: DataFrame, fields: list[Field], used: list[Field], where: S.Node | None, scope: Scope, number: str) -> DataFrame:
+        """Distinct rows of the fields in use, with the number of rows that each stands for."""
+        for raw, bare in self.pushable(where, scope):
+            if any(f.raw == raw for f in fields):
+                frame = frame.filter(bare)
+        return frame.groupBy(*(f.physical for f in fields if f in used)).agg(F.count(F.lit(1)).alias(number))
+
     # expressions
 
     def value(self, e: S.Node, scope: Scope, known: dict[S.Node, E.Value] | None = None) -> E.Value:
@@ -128,8 +159,8 @@ class Lowering:
                 return E.call(e.name, [go(a) for a in e.args])
         raise BindError(f"cannot evaluate {e}")
 
-    def pushable(self, e: S.Node, scope: Scope):
-        """Of the conditions in a WHERE, those between stored FLOAT columns and literals, on the bare columns.
+    def pushable(self, e: S.Node | None, scope: Scope):
+        """Of the conditions in a WHERE, those between stored FLOAT columns and literals: the bare column's name, and the condition on it.
 
         They follow from the WHERE, change no result, and are what can reach a scan.
         """
@@ -141,15 +172,21 @@ class Lowering:
         values = [self.value(x, scope) for x in sides if not isinstance(x, S.Column)]
         if len(fields) == 1 and fields[0].raw and all(v.literal is not None and v.numeric for v in values):
             bare = [E.Value(F.col(fields[0].raw), "FLOAT") if isinstance(x, S.Column) else self.value(x, scope) for x in sides]
-            yield (E.compare(e.op, *bare) if isinstance(e, S.Binary) else E.between(*bare, False)).col
+            yield fields[0].raw, (E.compare(e.op, *bare) if isinstance(e, S.Binary) else E.between(*bare, False)).col
 
     # aggregation
 
-    def aggregate(self, a: S.Aggregate, scope: Scope, inputs: dict[str, Column], name: str) -> E.Value:
-        """The aggregate over ``inputs``, to which its own input is added under ``name``."""
+    def aggregate(self, a: S.Aggregate, scope: Scope, inputs: dict[str, Column], name: str, number: Column | None) -> E.Value:
+        """The aggregate over ``inputs``, to which its own input is added under ``name``.
+
+        A COUNT adds up the ``number`` of rows that a row stands for, if there is one.
+        """
         if a.of is None:
             if a.name != "count":
                 raise BindError(f"{a.name.upper()}(*) has no meaning")
+            if number is not None:
+                inputs[name] = number
+                return E.rows(F.col(name))
             return E.Value(F.count(F.lit(1)), "INT", 0, E.HIGH)
         if any(isinstance(x, S.Aggregate) for x in S.walk(a.of)):
             raise BindError(f"nested aggregate: {a}")
@@ -162,6 +199,9 @@ class Lowering:
             v = E.Value(v.col.cast("bigint"), "INT", 0, 0)
         inputs[name] = E.double(v) if a.name == "avg" else v.col
         ref = F.col(name)
+        if a.name == "count" and number is not None and not a.distinct:
+            inputs[name] = F.when(v.col.isNotNull(), number)
+            return E.rows(ref)
         if a.name == "count":
             return E.Value(F.count_distinct(ref) if a.distinct else F.count(ref), "INT", 0, E.HIGH)
         if a.name in ("min", "max"):
@@ -176,7 +216,7 @@ class Lowering:
         inputs[name] = v.col.cast("decimal(28,0)")
         return E.fitted(total)
 
-    def grouped(self, s: S.Select, frame: DataFrame, scope: Scope, items: list[S.Item], row: Column | None) -> tuple[DataFrame, dict[S.Node, E.Value], str | None]:
+    def grouped(self, s: S.Select, frame: DataFrame, scope: Scope, items: list[S.Item], row: Column | None, number: Column | None) -> tuple[DataFrame, dict[S.Node, E.Value], str | None]:
         wanted = [i.expr for i in items] + ([s.having] if s.having is not None else [])
         aggregates = list(dict.fromkeys(x for e in wanted for x in S.walk(e) if isinstance(x, S.Aggregate)))
         keys = [scope.find(c) for c in s.group]
@@ -184,7 +224,7 @@ class Lowering:
         inputs: dict[str, Column] = {}
         made, known, columns = {}, {}, []
         for k, a in enumerate(aggregates):
-            made[a] = self.aggregate(a, scope, inputs, f"in{k}")
+            made[a] = self.aggregate(a, scope, inputs, f"in{k}", number)
             columns.append(made[a].col.alias(f"agg{k}"))
         picked = [scope.find(c) for c in bare]
         if picked:
@@ -233,15 +273,21 @@ class Lowering:
         rows = [row]
         if len(set(qualifiers)) < len(qualifiers):
             raise BindError(f"ambiguous table: {next(q for q in qualifiers if qualifiers.count(q) > 1)}")
+        used, number = None, None
         for j in s.joins:
             right, more, row = self.table(j.table, need_rows)
+            used = self.counted(s, fields, more) if grouping and not need_rows else None
+            if used is not None:
+                both = Scope(fields + more)
+                frame, right = self.merged(frame, fields, used, s.where, both, "n_left"), self.merged(right, more, used, s.where, both, "n_right")
+                number = E.product(F.col("n_left"), F.col("n_right"))
             fields = fields + more
             frame = self.join(frame, right, j, Scope(fields))
             rows.append(row)
         scope, place = Scope(fields), F.struct(*rows) if need_rows else None
         if s.where is not None:
             frame = frame.filter(E.truth(self.value(s.where, scope)))
-            for bare in self.pushable(s.where, scope):
+            for _, bare in self.pushable(s.where, scope) if used is None else ():
                 frame = frame.filter(bare)
         for c in s.group:
             scope.find(c)
@@ -251,7 +297,7 @@ class Lowering:
         starred = {id(x) for i, x in zip([i for i in s.items for _ in (range(len(fields)) if i.expr is None else (0,))], items, strict=True) if i.expr is None}
         known, order_row = None, None
         if grouping:
-            frame, known, order_row = self.grouped(s, frame, scope, items, place)
+            frame, known, order_row = self.grouped(s, frame, scope, items, place, number)
             if s.having is not None:
                 frame = frame.filter(E.truth(self.value(s.having, scope, known)))
             if not unsorted_limit:
